@@ -65,7 +65,7 @@ TILES = (
     # Every 11th tile has no readable coordinate system.
     (
         "CASE WHEN event_id % 11 = 10 THEN '' "
-        "ELSE concat('EPSG: 326', CAST(29 + event_id % 7 AS VARCHAR(20))) END",
+        "ELSE concat('EPSG: 326', CAST(29 + CAST(floor(event_id / 120.0) AS BIGINT) % 7 AS VARCHAR(20))) END",
         "srs",
     ),
     ("CAST(200000 + (event_id % 60) * 10000 AS DOUBLE)", "xmin"),
@@ -74,12 +74,12 @@ TILES = (
     ("CAST(4010000 + (CAST(floor(event_id / 100.0) AS BIGINT) % 200) * 10000 AS DOUBLE)", "ymax"),
 )
 
-# Pixels of 10 km in zone grids; sources overlap, and some cells of a source hold no data.
+# Pixels of 10 km in zone grids: sources of a zone overlap, zones overlap, some hold no data.
 PIXELS = (
     ("event_id", "seq"),
     (TILES[2][0], "srs"),
     ("20 + event_id % 60", "px"),
-    ("400 + CAST(floor(event_id / 100.0) AS BIGINT) % 200", "py"),
+    ("400 + CAST(floor(event_id / 600.0) AS BIGINT) % 200", "py"),
     ("CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END", "value"),
 )
 

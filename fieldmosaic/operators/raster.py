@@ -145,45 +145,53 @@ def overview_pyramid(
     """Reduced copies ``(level, bx, by, value)``, one per level, empty blocks absent.
 
     ``nearest`` takes a block's first pixel in row order, ``average`` the mean of
-    its pixels. A level that is a multiple of a finer one is made from that one,
-    so the pixels are shuffled once and coarser levels read only blocks.
+    its pixels. Pixels are first reduced to blocks of the levels' greatest common
+    divisor; only those few blocks are copied once per level, so the pixels are
+    read and shuffled once, however many levels there are.
     """
     if resampling not in ("nearest", "average"):
         raise ValueError(f"unknown resampling: {resampling}")
     c = F.col
+    wanted = sorted(set(levels))
     valued = pixels.filter(c("value").isNotNull()).select("px", "py", c("value").cast("double"))
-    done: dict[int, DataFrame] = {}
-    for level in sorted(set(levels)):
-        finer = max((f for f in done if level % f == 0), default=None)
-        # Blocks carry "at", the row-major place of their value inside the block.
-        if finer is None:
-            source, x, y, step = valued, c("px"), c("py"), level
-            place = F.pmod(y, F.lit(level)) * level + F.pmod(x, F.lit(level))
-            value, total, count = c("value"), c("value"), F.lit(1)
-        else:
-            step = level // finer
-            source, x, y = done[finer], c("bx"), c("by")
-            row = F.pmod(y, F.lit(step)) * finer + F.floor(c("at") / finer)
-            place = row * level + F.pmod(x, F.lit(step)) * finer + c("at") % finer
-            value, total, count = c("value"), c("total"), c("n")
-        keyed = source.select(
-            F.floor(x / step).alias("bx"), F.floor(y / step).alias("by"),
-            place.cast("bigint").alias("at"), value.alias("value"),
-            total.alias("total"), count.cast("bigint").alias("n"),
-        )
-        grouped = keyed.groupBy("bx", "by")
-        done[level] = (
-            keyed  # full resolution: every cell is its own block
-            if level == 1
-            else grouped.agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at"),
-                        F.lit(0.0).alias("total"), F.lit(1).alias("n"))
-            if resampling == "nearest"
-            else grouped.agg(F.lit(0.0).alias("value"), F.min("at").alias("at"),
-                             F.sum("total").alias("total"), F.sum("n").alias("n"))
-        )
+    full = valued.select(
+        F.lit(1).alias("level"), c("px").cast("bigint").alias("bx"), c("py").cast("bigint").alias("by"), "value"
+    )
+    coarse = [level for level in wanted if level > 1]
+    if not coarse:
+        return full
+    base = math.gcd(*coarse)
+
+    def reduce(*keys: str):
+        # "at" is the row-major place, inside its block, of the pixel a value came from.
+        if resampling == "nearest":
+            return lambda df: df.groupBy(*keys).agg(
+                F.min_by("value", "at").alias("value"), F.min("at").alias("at")
+            )
+        return lambda df: df.groupBy(*keys).agg(
+            F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("at").alias("at")
+        )
+
+    blocks = valued.select(
+        F.floor(c("px") / base).alias("ux"), F.floor(c("py") / base).alias("uy"),
+        (F.pmod("py", F.lit(base)) * base + F.pmod("px", F.lit(base))).cast("bigint").alias("at"),
+        "value", c("value").alias("total"), F.lit(1).cast("bigint").alias("n"),
+    )
+    if base > 1:
+        blocks = blocks.transform(reduce("ux", "uy"))
+    payload = ["value"] if resampling == "nearest" else ["total", "n"]
+    level = c("level")
+    step = F.floor(level / base)
+    row = F.pmod(c("uy"), step) * base + F.floor(c("at") / base)
+    column = F.pmod(c("ux"), step) * base + F.pmod(c("at"), F.lit(base))
+    reduced = (
+        blocks.withColumn("level", F.explode(F.array(*map(F.lit, coarse))))
+        .select(
+            "level", F.floor(c("ux") / step).alias("bx"), F.floor(c("uy") / step).alias("by"),
+            (row * level + column).alias("at"), *payload,
+        )
+        .transform(reduce("level", "bx", "by"))
+    )
     shown = c("value") if resampling == "nearest" else c("total") / c("n")
-    out = None
-    for level, blocks in done.items():
-        part = blocks.select(F.lit(level).alias("level"), "bx", "by", shown.alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    reduced = reduced.select("level", "bx", "by", shown.alias("value"))
+    return full.unionByName(reduced) if 1 in wanted else reduced

@@ -54,22 +54,22 @@ def stratified_folds(
     shuffle, give every slice its first rank. ``key`` must be unique, as
     ``row_key`` is after ``drop_duplicate_samples``.
     """
-    hashed = df.withColumn("_hash", F.md5(key)).withColumn(
-        "_slice", F.substring("_hash", 1, digits)
-    )
-    sizes = hashed.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    up_to = Window.partitionBy(label).orderBy("_slice")
+    # A null label is a class of its own; a key that is never null lets the join
+    # below use the partitioning of the window as it is.
+    hashed = df.withColumns(
+        {"_hash": F.md5(key), "_class": F.concat(F.lit("c"), F.coalesce(F.concat(F.lit("="), label), F.lit("")))}
+    ).withColumn("_slice", F.substring("_hash", 1, digits))
+    sizes = hashed.groupBy("_class", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    up_to = Window.partitionBy("_class").orderBy("_slice")
     starts = sizes.select(
-        F.col(label).alias("_label"),
-        F.col("_slice").alias("_slice_key"),
+        "_class",
+        "_slice",
         (F.sum("_size").over(up_to) - F.col("_size")).alias("_start"),
-        F.sum("_size").over(Window.partitionBy(label)).alias("_total"),
+        F.sum("_size").over(Window.partitionBy("_class")).alias("_total"),
     )
-    in_slice = Window.partitionBy(label, "_slice").orderBy("_hash", key)
-    ranked = hashed.withColumn("_row", F.row_number().over(in_slice) - 1)
-    joined = ranked.join(
-        starts,
-        ranked[label].eqNullSafe(starts["_label"]) & (ranked["_slice"] == starts["_slice_key"]),
+    in_slice = Window.partitionBy("_class", "_slice").orderBy("_hash", key)
+    joined = hashed.withColumn("_row", F.row_number().over(in_slice) - 1).join(
+        starts, ["_class", "_slice"]
     )
     rank, total = F.col("_start") + F.col("_row"), F.col("_total")
     # The first total % k folds hold one row more than the others.
