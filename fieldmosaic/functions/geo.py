@@ -65,11 +65,13 @@ _D = (
     / math.sqrt(1 - _E2 * math.sin(LAEA_LAT0) ** 2)
     / (LAEA_RADIUS * math.cos(_BETA0))
 )
-# Authalic -> geographic latitude series.
+_N80 = GRS80_F / (2 - GRS80_F)
+# Authalic -> geographic latitude, series in the third flattening to n^4.
 _AUTHALIC = (
-    _E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040,
-    23 * _E2**2 / 360 + 251 * _E2**3 / 3780,
-    761 * _E2**3 / 45360,
+    4 * _N80 / 3 + 4 * _N80**2 / 45 - 16 * _N80**3 / 35 - 2582 * _N80**4 / 14175,
+    46 * _N80**2 / 45 + 152 * _N80**3 / 945 - 11966 * _N80**4 / 14175,
+    3044 * _N80**3 / 2835 + 3802 * _N80**4 / 14175,
+    6059 * _N80**4 / 4725,
 )
 
 

@@ -1,0 +1,64 @@
+import pytest
+from pyspark.sql import functions as F
+
+from fieldmosaic.functions import codes
+from fieldmosaic.operators import labels
+
+LISTED = {
+    1100: ("1100", "0"), 1110: ("1100", "1910"), 1120: ("1100", "1920"),
+    1500: ("1500", "0"), 1510: ("1500", "1910"), 1520: ("1500", "1920"),
+    1900: ("1900", "0"), 1910: ("1900", "1910"), 1920: ("1900", "1920"),
+    1200: ("1200", "1200"), 4350: ("4350", "4350"), 4351: ("4350", "4350"), 4352: ("4350", "4350"),
+    5100: ("5100", "5100"), 8100: ("8100", "8100"),
+    9100: ("9100", "9100"), 9110: ("9100", "9100"), 9120: ("9100", "9100"),
+}
+
+
+def test_every_code_of_both_schemes(spark):
+    wanted = {**LISTED, 0: ("0", "0"), 3000: ("0", "0"), -1110: ("0", "0"), None: ("0", "0")}
+    df = spark.createDataFrame([(c,) for c in wanted], "id int")
+    rows = df.select(
+        "id",
+        codes.label_by_crop_type(F.col("id")).alias("t"),
+        codes.label_by_season(F.col("id")).alias("s"),
+        codes.label_by_crop_type_int(F.col("id")).alias("n"),
+    ).collect()
+    assert {r.id: (r.t, r.s) for r in rows} == wanted
+    assert all(r.n == int(r.t) for r in rows)
+
+
+def test_codes_read_as_floats_are_labelled_alike(spark):
+    df = spark.createDataFrame([(1110.0,), (float("nan"),)], "id double")
+    got = [r[0] for r in df.select(codes.label_by_crop_type(F.col("id"))).collect()]
+    assert got == ["1100", "0"]
+
+
+@pytest.mark.parametrize("max_rows", [10_000, 3])  # broadcast, and too large for it
+def test_label_table_equals_the_expression(spark, max_rows):
+    df = spark.createDataFrame([(c,) for c in [*LISTED, 7, None]], "id int")
+    table = codes.class_table(spark, codes.SEASON_CLASSES)
+    got = labels.label_from_table(df, table, max_rows)
+    expected = labels.with_label(df, codes.SEASON_CLASSES)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def test_label_table_repeats_and_conflicts(spark):
+    df = spark.createDataFrame([(1,), (2,)], "id int")
+    twice = spark.createDataFrame([(1, "a"), (1, "a")], "id int, label string")
+    assert sorted(map(tuple, labels.label_from_table(df, twice).collect())) == [(1, "a"), (2, "0")]
+    clash = spark.createDataFrame([(1, "a"), (1, "b")], "id int, label string")
+    with pytest.raises(Exception, match="two labels for code 1"):
+        labels.label_from_table(df, clash).collect()
+
+
+def test_feature_names(spark):
+    names = codes.feature_names()
+    assert len(names) == len(set(names)) == 120
+    assert names[0] == "B06_p25" and names[90] == "ratio_p25" and names[-1] == "VV_t17"
+    table = codes.feature_name_table(spark).orderBy("position").collect()
+    assert [r.feature for r in table] == names
+    assert [r.position for r in table] == list(range(120))
+    small = codes.small_feature_names()
+    assert len(small) == len(set(small)) == 80 and set(small) <= set(names)
+    assert small[:4] == ["B06_sd", "B06_p25", "B06_p50", "B06_p75"] and small[-1] == "NDRE5_p75"
+    assert "ratio_t2" not in small and "VV_t17" in small and "NDMI_p50" not in small

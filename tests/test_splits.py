@@ -1,0 +1,73 @@
+import pytest
+from conftest import plan_of
+from pyspark.sql import functions as F
+
+from fieldmosaic.operators import splits
+
+
+def keyed(spark, n=3000):
+    """Rows of which two thirds belong to one class."""
+    label = F.when(F.col("id") % 3 < 2, "big").otherwise(F.concat(F.lit("c"), (F.col("id") % 5).cast("string")))
+    return spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), label.alias("label"))
+
+
+def test_hash_split_ignores_the_partitioning(spark):
+    parts = []
+    for n in (1, 3, 8):
+        rows = splits.split_hash(keyed(spark).repartition(n), "key")
+        parts.append({r.key for r in rows.filter("is_test").collect()})
+    assert parts[0] == parts[1] == parts[2]
+    assert 0.27 < len(parts[0]) / 3000 < 0.33
+    assert "Exchange" not in plan_of(splits.split_hash(spark.range(9).select(F.col("id").cast("string").alias("key")), "key"))
+
+
+def test_seeds_and_shares(spark):
+    df = keyed(spark)
+    a = splits.split_hash(df, "key", 0.3, seed=1)
+    b = splits.split_hash(df, "key", 0.3, seed=2).withColumnRenamed("is_test", "other")
+    assert a.join(b, "key").filter("is_test <> other").count() > 500
+    assert splits.split_hash(df, "key", 0.0).filter("is_test").count() == 0
+    assert splits.split_hash(df, "key", 1.0).filter("not is_test").count() == 0
+
+
+def test_random_split_and_pools_are_disjoint_and_complete(spark):
+    train, test = splits.split_random(keyed(spark))
+    pools = splits.make_pools(train, test)
+    assert pools.count() == 3000 and pools.select("key").distinct().count() == 3000
+    assert pools.filter("is_validation").count() == test.count()
+
+
+@pytest.mark.parametrize("k,digits", [(3, 4), (5, 1), (7, 2)])
+def test_folds_are_exact_per_class(spark, k, digits):
+    df = keyed(spark)
+    got = splits.stratified_folds(df.repartition(5), "key", k=k, digits=digits)
+    from pyspark.sql import Window
+
+    plain = df.withColumn("fold", F.ntile(k).over(Window.partitionBy("label").orderBy(F.md5("key"), "key")) - 1)
+    assert set(map(tuple, got.collect())) == set(map(tuple, plain.select(*got.columns).collect()))
+    sizes = got.groupBy("label", "fold").count().groupBy("label").agg(
+        (F.max("count") - F.min("count")).alias("d"), F.count("*").alias("f")
+    )
+    assert all(r.d <= 1 and r.f == k for r in sizes.collect())
+
+
+def test_folds_of_tiny_and_null_classes(spark):
+    df = spark.createDataFrame([("a", None), ("b", None), ("c", "x")], "key string, label string")
+    got = splits.stratified_folds(df, "key").collect()
+    assert sorted(r.fold for r in got if r.label is None) == [0, 1]
+    assert [r.fold for r in got if r.label == "x"] == [0]
+
+
+def test_fold_join_reuses_the_window_partitioning(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(splits.stratified_folds(keyed(spark), "key"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # rows once; slice sizes: count, prefix sums, back to the join
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_row_key_tells_rows_apart(spark):
+    df = spark.createDataFrame([(1, None), (1, 2.0), (None, 1.0)], "id int, a double")
+    assert df.select(splits.row_key(df).alias("k")).distinct().count() == 3
