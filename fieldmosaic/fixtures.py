@@ -18,11 +18,12 @@ SAMPLE_CODES = (
 
 _CODE_CASES = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(SAMPLE_CODES))
 
+# Unique over lineitem at all scales; money in cents, so both engines write it alike.
 KEY = (
     "concat_ws('|', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20)), "
     "CAST(l_partkey AS VARCHAR(20)), CAST(l_suppkey AS VARCHAR(20)), "
-    "CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR(20)), "
-    "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(20)), "
+    "CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR(20)), "
+    "CAST(CAST(floor(l_extendedprice * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS VARCHAR(20)), "
     "CAST(CAST(l_shipdate AS DATE) AS VARCHAR(20)))"
 )
 
@@ -65,13 +66,13 @@ TILES = (
     # Every 11th tile has no readable coordinate system.
     (
         "CASE WHEN event_id % 11 = 10 THEN '' "
-        "ELSE concat('EPSG: 326', CAST(29 + CAST(floor(event_id / 120.0) AS BIGINT) % 7 AS VARCHAR(20))) END",
+        "ELSE concat('EPSG: 326', CAST(29 + CAST(floor(event_id / CAST(120 AS DOUBLE)) AS BIGINT) % 7 AS VARCHAR(20))) END",
         "srs",
     ),
     ("CAST(200000 + (event_id % 60) * 10000 AS DOUBLE)", "xmin"),
-    ("CAST(4000000 + (CAST(floor(event_id / 100.0) AS BIGINT) % 200) * 10000 AS DOUBLE)", "ymin"),
+    ("CAST(4000000 + (CAST(floor(event_id / CAST(100 AS DOUBLE)) AS BIGINT) % 200) * 10000 AS DOUBLE)", "ymin"),
     ("CAST(210000 + (event_id % 60) * 10000 AS DOUBLE)", "xmax"),
-    ("CAST(4010000 + (CAST(floor(event_id / 100.0) AS BIGINT) % 200) * 10000 AS DOUBLE)", "ymax"),
+    ("CAST(4010000 + (CAST(floor(event_id / CAST(100 AS DOUBLE)) AS BIGINT) % 200) * 10000 AS DOUBLE)", "ymax"),
 )
 
 # Pixels of 10 km in zone grids: sources of a zone overlap, zones overlap, some hold no data.
@@ -79,7 +80,7 @@ PIXELS = (
     ("event_id", "seq"),
     (TILES[2][0], "srs"),
     ("20 + event_id % 60", "px"),
-    ("400 + CAST(floor(event_id / 600.0) AS BIGINT) % 200", "py"),
+    ("400 + CAST(floor(event_id / CAST(600 AS DOUBLE)) AS BIGINT) % 200", "py"),
     ("CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END", "value"),
 )
 

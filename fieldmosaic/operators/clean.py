@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -75,6 +76,16 @@ def load_clean(df: DataFrame, integers: bool = False) -> DataFrame:
     return kept.transform(cast_all_int if integers else cast_strata)
 
 
+def missing_as_lowest(df: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Nulls and NaN of double features as the lowest double, for tree learners only.
+
+    The variant that requires one band keeps rows with others missing; a tree then
+    sees a missing value as below every real one.
+    """
+    doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType) and f.name in set(bands)]
+    return df.fillna(-sys.float_info.max, doubles) if doubles else df
+
+
 def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] = ()) -> DataFrame:
     """First rows; with ``order_by`` a top-n that keeps n rows a task."""
     return df.orderBy(*order_by).limit(n) if order_by else df.limit(n)

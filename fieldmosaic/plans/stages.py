@@ -71,11 +71,9 @@ class _Folder:
         self._fs.delete(self._path, True)
 
 
-def _record(spark: SparkSession, folder: _Folder, manifest: _Folder) -> None:
-    rows = sorted(folder.sizes().items()) or [("empty", 0)]
-    spark.createDataFrame(rows, "part string, bytes long").coalesce(1).write.mode("overwrite").json(
-        manifest.path
-    )
+def _record(spark: SparkSession, parts: dict[str, int], path: str) -> None:
+    rows = spark.createDataFrame(sorted(parts.items()), "part string, bytes long")
+    rows.coalesce(1).write.mode("overwrite").json(path)
 
 
 def is_complete(spark: SparkSession, run: str, stage: Stage) -> bool:
@@ -87,9 +85,7 @@ def is_complete(spark: SparkSession, run: str, stage: Stage) -> bool:
         r["part"]: r["bytes"]
         for r in spark.read.schema("part string, bytes long").json(manifest.path).collect()
     }
-    if not listed or set(listed) == {"empty"}:
-        return False
-    return folder.sizes() == listed
+    return bool(listed) and folder.sizes() == listed
 
 
 def run_stages(
@@ -108,25 +104,29 @@ def run_stages(
     """
     spark = source.sparkSession
     run = f"{base.rstrip('/')}/{fingerprint(source, *settings, *(s.name for s in stages))}"
-    needed = {stages[-1].name}
+    needed, complete = {stages[-1].name}, set()
     for stage in reversed(stages):
-        if stage.name in needed and not is_complete(spark, run, stage):
-            needed.update(stage.reads)
+        if stage.name in needed:
+            if is_complete(spark, run, stage):
+                complete.add(stage.name)
+            else:
+                needed.update(stage.reads)
     tables = {"source": source}
     ran = []
     for stage in stages:
         if stage.name not in needed:
             continue
         path = f"{run}/{stage.name}"
-        if not is_complete(spark, run, stage):
+        if stage.name not in complete:
             out = stage.build(tables)
             if stage.by_zone:
                 out = out.hint("rebalance", F.col("zone"))
             writer = out.write.mode("overwrite")
             (writer.partitionBy("zone") if stage.by_zone else writer).parquet(path)
-            _record(spark, _Folder(spark, path), _Folder(spark, f"{path}.parts"))
-            if not is_complete(spark, run, stage):
+            parts = _Folder(spark, path).sizes()
+            if not parts:
                 raise RuntimeError(f"stage {stage.name} wrote no data")
+            _record(spark, parts, f"{path}.parts")
             ran.append(stage.name)
         tables[stage.name] = spark.read.parquet(path)
     if clean:

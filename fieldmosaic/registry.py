@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from fieldmosaic import fixtures
 from fieldmosaic.functions import codes, naming
 from fieldmosaic.operators import clean, labels, learn, metrics, raster, splits, tiles, weights
 from fieldmosaic.plans import scenarios, stages
-from fieldmosaic.session import new_path
+from fieldmosaic.session import new_path, tune
 from fieldmosaic.sources import samples, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +24,11 @@ TYPE_NAMES = sorted([*codes.TYPE_CLASSES, codes.OTHER_CLASS])
 
 
 def query(function):
-    QUERIES[function.__name__] = function
+    @wraps(function)
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(tune(spark), sf_dir)
+
+    QUERIES[function.__name__] = tuned
     return function
 
 

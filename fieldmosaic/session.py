@@ -25,7 +25,18 @@ def local_session(cores: int | str = 8, app: str = "fieldmosaic", **conf: str) -
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the wide sample tables need; all may change at run time.
+
+    Generated methods above 8000 bytes are never compiled by the JVM's JIT. With
+    120 bands the fused loops pass that mark and would run interpreted, about ten
+    times slower; at this limit Spark falls back to split-up generated code.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     per application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if configured:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = context.applicationId

@@ -118,11 +118,21 @@ def test_shared_folder(spark, monkeypatch):
 
         class sparkContext:
             master = "yarn"
+            used = None
+
+            @classmethod
+            def getCheckpointDir(cls):
+                return cls.used
+
+            @classmethod
+            def setCheckpointDir(cls, path):
+                cls.used = path
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Cluster)
     Cluster.conf.get = staticmethod(lambda key, default=None: "hdfs://shared/dir/")
     assert shared_dir(Cluster) == "hdfs://shared/dir"
+    assert Cluster.sparkContext.used == "hdfs://shared/dir/"
 
 
 def test_broadcast_only_what_was_counted(spark):
