@@ -14,7 +14,7 @@ UNKNOWN_ZONE = "unknown"
 
 def normalise_epsg(srs: Column) -> Column:
     """``'EPSG: 32631\\n'`` -> ``'EPSG32631'``."""
-    return F.regexp_replace(srs, "[ \\n:]", "")
+    return F.translate(srs, " \n:", "")
 
 
 def zone_of(srs: Column) -> Column:
@@ -32,11 +32,31 @@ def reprojected_output_name(url: Column, target: str = TARGET_EPSG) -> Column:
     return F.replace(F.substring_index(url, "/", -1), F.lit(".vrt"), F.lit(f"_{target}.vrt"))
 
 
-def hash_bucket(key: Column, buckets: int, seed: int | str = "") -> Column:
-    """Bucket 0..buckets-1 from the first 32 bits of the md5 of the (seeded) key.
+def _hash_word(key: Column, seed: int | str) -> Column:
+    """First 32 bits of the md5 of the (seeded) key as eight hex digits."""
+    text = F.concat(F.lit(f"{seed}:"), key) if seed != "" else key
+    return F.substring(F.md5(text), 1, 8)
+
+
+def hash_share(key: Column, share: float, seed: int | str = "") -> Column:
+    """True for the given share of keys: those whose hash lies in its upper end.
 
-    Depends on the key alone, so it survives repartitioning and recomputation.
+    Hex digits of one length sort like the numbers they stand for, so the hash is
+    compared as text and never converted. It depends on the key alone and so
+    survives repartitioning and recomputation.
     """
-    text = F.concat(F.lit(f"{seed}:"), key) if seed != "" else key
-    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return (word % buckets).cast("int")
+    first = round((1 - share) * 2**32)
+    if first >= 2**32:
+        return F.lit(False)
+    return _hash_word(key, seed) >= F.lit(f"{first:08x}")
+
+
+def hash_bucket(key: Column, buckets: int, seed: int | str = "") -> Column:
+    """Bucket 0..buckets-1 by equal ranges of the key's hash; for few buckets."""
+    word = _hash_word(key, seed)
+    # A sum, not nested cases: every term is evaluated, so the hash is computed once.
+    bucket = F.lit(0)
+    for i in range(1, buckets):
+        bound = -(-i * 2**32 // buckets)
+        bucket = bucket + (word >= F.lit(f"{bound:08x}")).cast("int")
+    return bucket

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmosaic.functions.naming import hash_bucket
-
-_SPLIT_BUCKETS = 10_000
+from fieldmosaic.functions.naming import hash_bucket, hash_share
 
 
 def row_key(df: DataFrame) -> Column:
@@ -29,8 +27,7 @@ def split_hash(
     df: DataFrame, key: str, test_share: float = 0.3, seed: int | str = 190, out: str = "is_test"
 ) -> DataFrame:
     """Flag a stable share of rows by the hash of their key. No shuffle, any partitioning."""
-    first_test = round(_SPLIT_BUCKETS * (1 - test_share))
-    return df.withColumn(out, hash_bucket(F.col(key), _SPLIT_BUCKETS, seed) >= first_test)
+    return df.withColumn(out, hash_share(F.col(key), test_share, seed))
 
 
 def make_pools(train: DataFrame, evaluation: DataFrame, out: str = "is_validation") -> DataFrame:

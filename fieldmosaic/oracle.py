@@ -56,7 +56,7 @@ PREDICTED = (
     *LABELLED,
     (
         "predicted",
-        f"SELECT *, CASE WHEN {_hash('key')} % 10 < 2 THEN CASE label {_FOLLOWING} END "
+        f"SELECT *, CASE WHEN {_hash('key')} >= {round(0.8 * 2**32)} THEN CASE label {_FOLLOWING} END "
         "ELSE label END AS prediction FROM labelled",
     ),
 )
@@ -89,7 +89,7 @@ BANDS = (
 )
 GUESSES = (
     *LABELLED,
-    ("folded", f"SELECT label, {_hash('key', 'fold')} % 3 AS fold FROM labelled"),
+    ("folded", f"SELECT label, ({_hash('key', 'fold')} * 3) >> 32 AS fold FROM labelled"),
     ("guesses", "SELECT unnest([" + ", ".join(f"'{n}'" for n in TYPE_NAMES) + "]) AS guess"),
     (
         "per_fold",
@@ -366,11 +366,11 @@ def statements() -> dict[str, str]:
         then=f"SELECT key, 4::BIGINT AS n_features, B06_p50 AS f0, B06_sd AS f1, NDVI_p50 AS f2, VV_p50 AS f3 FROM crop WHERE {NO_NULL}",
     )
     s["split_hash"] = _with(
-        KEYED, then=f"SELECT key, {_hash('key', '190')} % 10000 >= 7000 AS is_test FROM crop"
+        KEYED, then=f"SELECT key, {_hash('key', '190')} >= {round(0.7 * 2**32)} AS is_test FROM crop"
     )
     s["pools"] = _with(
         *LABELLED,
-        ("flagged", f"SELECT label, {_hash('key', '190')} % 10000 >= 7000 AS is_test FROM labelled"),
+        ("flagged", f"SELECT label, {_hash('key', '190')} >= {round(0.7 * 2**32)} AS is_test FROM labelled"),
         then="SELECT label, is_test, is_test AS is_validation, count(*) AS n FROM flagged GROUP BY label, is_test",
     )
     s["folds"] = _with(
@@ -378,7 +378,7 @@ def statements() -> dict[str, str]:
         then="SELECT key, label, (ntile(3) OVER (PARTITION BY label ORDER BY md5(key), key) - 1)::INT AS fold FROM labelled",
     )
     s["folds_hash"] = _with(
-        *LABELLED, then=f"SELECT key, label, ({_hash('key', 'fold')} % 3)::INT AS fold FROM labelled"
+        *LABELLED, then=f"SELECT key, label, (({_hash('key', 'fold')} * 3) >> 32)::INT AS fold FROM labelled"
     )
 
     right = "count(*) FILTER (label = prediction)::DOUBLE / count(*)"

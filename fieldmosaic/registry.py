@@ -266,7 +266,7 @@ def _predicted(spark, sf) -> DataFrame:
     following = F.create_map(
         *(F.lit(v) for pair in zip(TYPE_NAMES, TYPE_NAMES[1:] + TYPE_NAMES[:1]) for v in pair)
     )
-    wrong = naming.hash_bucket(F.col("key"), 10) < 2
+    wrong = naming.hash_share(F.col("key"), 0.2)
     return rows.withColumn(
         "prediction", F.when(wrong, following[F.col("label")]).otherwise(F.col("label"))
     )
