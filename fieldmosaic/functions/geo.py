@@ -2,8 +2,8 @@
 
 Transverse Mercator in Krueger's n-series to n^4 (sub-millimetre inside a zone)
 and the ellipsoidal Lambert azimuthal equal-area projection, both from the
-published EPSG guidance formulas. Every step adds named columns instead of
-nesting expressions, so a sine used five times is written and evaluated once.
+published EPSG guidance formulas. A projection is one select whose later columns
+name earlier ones, so a sine used five times is written and evaluated once.
 """
 
 from __future__ import annotations
@@ -82,13 +82,17 @@ def _total(terms) -> Column:
     return total
 
 
-def _emit(df: DataFrame, keep: list[str], first: str, second: str) -> DataFrame:
-    """The kept columns and the two results, through a one-element generator.
+def _steps(df: DataFrame, steps: dict[str, Column], first: str, second: str) -> DataFrame:
+    """Add two results of named steps, passed through a one-element generator.
 
-    A filter on a result would otherwise be pushed below the projections with the
-    whole formula written out in place of every name, many times over.
+    A filter on a result would otherwise be pushed below the steps with the whole
+    formula written out in place of every name, many times over.
     """
-    return df.select(*keep, F.inline(F.array(F.struct(first, second))))
+    taken = set(df.columns) & set(steps)
+    if taken:
+        raise ValueError(f"columns already there: {sorted(taken)}")
+    stepped = df.select("*", *(step.alias(name) for name, step in steps.items()))
+    return stepped.select(*df.columns, F.inline(F.array(F.struct(first, second))))
 
 
 def utm_code(epsg: Column) -> Column:
@@ -108,160 +112,81 @@ def _false_northing(code: Column) -> Column:
 def utm_to_geographic(df: DataFrame, x: str, y: str, code: str, lat: str, lon: str) -> DataFrame:
     """Add latitude and longitude (radians) of UTM coordinates."""
     c = F.col
-    keep = df.columns
-    return (
-        df.withColumns(
-            {
-                "_xi": (c(y) - _false_northing(c(code))) / _RECTIFYING,
-                "_eta": (c(x) - UTM_FALSE_EASTING) / _RECTIFYING,
-            }
-        )
-        .withColumns(
-            {
-                "_xi1": c("_xi")
-                - _total(
-                    b * F.sin(2 * j * c("_xi")) * F.cosh(2 * j * c("_eta"))
-                    for j, b in enumerate(_BETA, 1)
-                ),
-                "_eta1": c("_eta")
-                - _total(
-                    b * F.cos(2 * j * c("_xi")) * F.sinh(2 * j * c("_eta"))
-                    for j, b in enumerate(_BETA, 1)
-                ),
-            }
-        )
-        .withColumns(
-            {
-                "_chi": F.asin(F.sin("_xi1") / F.cosh("_eta1")),
-                lon: _central_meridian(c(code)) + F.atan2(F.sinh("_eta1"), F.cos("_xi1")),
-            }
-        )
-        .withColumn(
-            lat,
-            c("_chi") + _total(d * F.sin(2 * j * c("_chi")) for j, d in enumerate(_DELTA, 1)),
-        )
-        .transform(_emit, keep, lat, lon)
-    )
+    xi, eta, chi = c("_xi"), c("_eta"), c("_chi")
+    steps = {
+        "_xi": (c(y) - _false_northing(c(code))) / _RECTIFYING,
+        "_eta": (c(x) - UTM_FALSE_EASTING) / _RECTIFYING,
+        "_xi1": xi
+        - _total(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_BETA, 1)),
+        "_eta1": eta
+        - _total(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_BETA, 1)),
+        "_chi": F.asin(F.sin("_xi1") / F.cosh("_eta1")),
+        lat: chi + _total(d * F.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1)),
+        lon: _central_meridian(c(code)) + F.atan2(F.sinh("_eta1"), F.cos("_xi1")),
+    }
+    return _steps(df, steps, lat, lon)
 
 
 def geographic_to_utm(df: DataFrame, lat: str, lon: str, code: str, x: str, y: str) -> DataFrame:
     """Add UTM coordinates of latitude and longitude (radians)."""
     c = F.col
-    keep = df.columns
-    return (
-        df.withColumns(
-            {"_sin": F.sin(lat), "_dlon": c(lon) - _central_meridian(c(code))}
-        )
-        .withColumn("_t", F.sinh(F.atanh("_sin") - _TM_E * F.atanh(_TM_E * c("_sin"))))
-        .withColumns(
-            {
-                "_xi1": F.atan2(c("_t"), F.cos("_dlon")),
-                "_eta1": F.asinh(
-                    F.sin("_dlon") / F.sqrt(c("_t") * c("_t") + F.cos("_dlon") * F.cos("_dlon"))
-                ),
-            }
-        )
-        .withColumns(
-            {
-                x: UTM_FALSE_EASTING
-                + _RECTIFYING
-                * (
-                    c("_eta1")
-                    + _total(
-                        a * F.cos(2 * j * c("_xi1")) * F.sinh(2 * j * c("_eta1"))
-                        for j, a in enumerate(_ALPHA, 1)
-                    )
-                ),
-                y: _false_northing(c(code))
-                + _RECTIFYING
-                * (
-                    c("_xi1")
-                    + _total(
-                        a * F.sin(2 * j * c("_xi1")) * F.cosh(2 * j * c("_eta1"))
-                        for j, a in enumerate(_ALPHA, 1)
-                    )
-                ),
-            }
-        )
-        .transform(_emit, keep, x, y)
-    )
+    xi, eta, t, cos = c("_xi1"), c("_eta1"), c("_t"), c("_cos_dlon")
+    steps = {
+        "_sin": F.sin(lat),
+        "_dlon": c(lon) - _central_meridian(c(code)),
+        "_cos_dlon": F.cos("_dlon"),
+        "_t": F.sinh(F.atanh("_sin") - _TM_E * F.atanh(_TM_E * c("_sin"))),
+        "_xi1": F.atan2(t, cos),
+        "_eta1": F.asinh(F.sin("_dlon") / F.sqrt(t * t + cos * cos)),
+        x: UTM_FALSE_EASTING
+        + _RECTIFYING
+        * (eta + _total(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))),
+        y: _false_northing(c(code))
+        + _RECTIFYING
+        * (xi + _total(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))),
+    }
+    return _steps(df, steps, x, y)
 
 
 def geographic_to_laea(df: DataFrame, lat: str, lon: str, x: str, y: str) -> DataFrame:
     """Add EPSG:3035 coordinates of latitude and longitude (radians)."""
     c = F.col
-    keep = df.columns
-    return (
-        df.withColumns({"_s": F.sin(lat), "_dl": c(lon) - LAEA_LON0})
-        .withColumn(
-            "_q",
-            (1 - _E2)
-            * (
-                c("_s") / (1 - _E2 * c("_s") * c("_s"))
-                - F.ln((1 - _E * c("_s")) / (1 + _E * c("_s"))) / (2 * _E)
-            ),
-        )
-        .withColumn("_b", F.asin(c("_q") / _QP))
-        .withColumns(
-            {
-                "_sb": F.sin("_b"),
-                "_cbc": F.cos("_b") * F.cos("_dl"),
-                "_cbs": F.cos("_b") * F.sin("_dl"),
-            }
-        )
-        .withColumn(
-            "_k",
-            LAEA_RADIUS
-            * F.sqrt(2 / (1 + math.sin(_BETA0) * c("_sb") + math.cos(_BETA0) * c("_cbc"))),
-        )
-        .withColumns(
-            {
-                x: LAEA_FALSE_EASTING + c("_k") * _D * c("_cbs"),
-                y: LAEA_FALSE_NORTHING
-                + c("_k")
-                / _D
-                * (math.cos(_BETA0) * c("_sb") - math.sin(_BETA0) * c("_cbc")),
-            }
-        )
-        .transform(_emit, keep, x, y)
-    )
+    s = c("_s")
+    sin0, cos0 = math.sin(_BETA0), math.cos(_BETA0)
+    steps = {
+        "_s": F.sin(lat),
+        "_dl": c(lon) - LAEA_LON0,
+        "_q": (1 - _E2)
+        * (s / (1 - _E2 * s * s) - F.ln((1 - _E * s) / (1 + _E * s)) / (2 * _E)),
+        "_b": F.asin(c("_q") / _QP),
+        "_sb": F.sin("_b"),
+        "_cb": F.cos("_b"),
+        "_cbc": c("_cb") * F.cos("_dl"),
+        "_k": LAEA_RADIUS * F.sqrt(2 / (1 + sin0 * c("_sb") + cos0 * c("_cbc"))),
+        x: LAEA_FALSE_EASTING + c("_k") * _D * c("_cb") * F.sin("_dl"),
+        y: LAEA_FALSE_NORTHING + c("_k") / _D * (cos0 * c("_sb") - sin0 * c("_cbc")),
+    }
+    return _steps(df, steps, x, y)
 
 
 def laea_to_geographic(df: DataFrame, x: str, y: str, lat: str, lon: str) -> DataFrame:
     """Add latitude and longitude (radians) of EPSG:3035 coordinates."""
     c = F.col
-    keep = df.columns
-    return (
-        df.withColumns(
-            {
-                "_dx": (c(x) - LAEA_FALSE_EASTING) / _D,
-                "_dy": (c(y) - LAEA_FALSE_NORTHING) * _D,
-            }
-        )
-        .withColumn("_rho", F.sqrt(c("_dx") * c("_dx") + c("_dy") * c("_dy")))
-        .withColumn("_c", 2 * F.asin(c("_rho") / (2 * LAEA_RADIUS)))
-        .withColumns({"_sc": F.sin("_c"), "_cc": F.cos("_c")})
-        .withColumns(
-            {
-                # At the projection centre rho is 0 and the second term vanishes.
-                "_ba": F.asin(
-                    c("_cc") * math.sin(_BETA0)
-                    + F.when(c("_rho") == 0, F.lit(0.0)).otherwise(
-                        c("_dy") * c("_sc") * math.cos(_BETA0)
-                        / F.when(c("_rho") != 0, c("_rho"))
-                    )
-                ),
-                lon: LAEA_LON0
-                + F.atan2(
-                    c("_dx") * c("_sc"),
-                    c("_rho") * math.cos(_BETA0) * c("_cc") - c("_dy") * math.sin(_BETA0) * c("_sc"),
-                ),
-            }
-        )
-        .withColumn(
-            lat,
-            c("_ba")
-            + _total(k * F.sin(2 * j * c("_ba")) for j, k in enumerate(_AUTHALIC, 1)),
-        )
-        .transform(_emit, keep, lat, lon)
+    dx, dy, rho, beta = c("_dx"), c("_dy"), c("_rho"), c("_ba")
+    sin0, cos0 = math.sin(_BETA0), math.cos(_BETA0)
+    # At the projection centre rho is 0 and this term vanishes.
+    tilt = F.when(rho == 0, F.lit(0.0)).otherwise(
+        dy * c("_sc") * cos0 / F.when(rho != 0, rho)
     )
+    steps = {
+        "_dx": (c(x) - LAEA_FALSE_EASTING) / _D,
+        "_dy": (c(y) - LAEA_FALSE_NORTHING) * _D,
+        "_rho": F.sqrt(dx * dx + dy * dy),
+        "_arc": 2 * F.asin(rho / (2 * LAEA_RADIUS)),
+        "_sc": F.sin("_arc"),
+        "_cc": F.cos("_arc"),
+        "_ba": F.asin(c("_cc") * sin0 + tilt),
+        lat: beta + _total(k * F.sin(2 * j * beta) for j, k in enumerate(_AUTHALIC, 1)),
+        lon: LAEA_LON0 + F.atan2(dx * c("_sc"), rho * cos0 * c("_cc") - dy * sin0 * c("_sc")),
+    }
+    return _steps(df, steps, lat, lon)
