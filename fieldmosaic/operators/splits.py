@@ -41,33 +41,38 @@ def hash_folds(df: DataFrame, key: str, k: int = 3, seed: int | str = "fold") ->
 
 
 def stratified_folds(
-    df: DataFrame, key: str, label: str = "label", k: int = 3, digits: int = 4
+    df: DataFrame, key: str, label: str = "label", k: int = 3, bits: int = 16
 ) -> DataFrame:
     """Exact folds: per class, ``k`` runs in key-hash order whose sizes differ by at most 1.
 
-    Gives what ``ntile(k) over (partition by label order by md5(key), key)`` gives,
-    less one, without putting a class into one task. Rows are ranked inside slices
-    of the hash (``16**digits`` per class); slice sizes, counted before the
-    shuffle, give every slice its first rank. ``key`` must be unique, as
+    Gives what ``ntile(k) over (partition by label order by hash, key)`` gives, less
+    one, for the first 60 bits of the key's md5 as the hash, without putting a class
+    into one task. Rows are ranked inside slices of the hash; slice sizes, counted
+    before the shuffle, give every slice its first rank. ``key`` must be unique, as
     ``row_key`` is after ``drop_duplicate_samples``.
     """
-    # A null label is a class of its own; a key that is never null lets the join
-    # below use the partitioning of the window as it is.
-    hashed = df.withColumns(
-        {"_hash": F.md5(key), "_class": F.concat(F.lit("c"), F.coalesce(F.concat(F.lit("="), label), F.lit("")))}
-    ).withColumn("_slice", F.substring("_hash", 1, digits))
-    sizes = hashed.groupBy("_class", "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    up_to = Window.partitionBy("_class").orderBy("_slice")
+    word = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+    # Never null, or the join would add a filter that computes the hash once more.
+    word = F.coalesce(word, F.lit(0).cast("bigint"))
+    hashed = df.withColumn("_hash", word)
+    # The slice comes first wherever rows are sorted: it tells rows apart best.
+    parts = ["_slice", label]
+    hashed = hashed.withColumn("_slice", F.shiftright("_hash", 60 - bits))
+    if df.schema[label].nullable:
+        # A null label is a class of its own; a key that is never null lets the join
+        # below use the partitioning of the window as it is.
+        parts = ["_slice", "_class"]
+        named = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+        hashed = hashed.withColumn("_class", named)
+    sizes = hashed.groupBy(*parts).agg(F.count(F.lit(1)).alias("_size"))
+    up_to = Window.partitionBy(parts[1]).orderBy("_slice")
     starts = sizes.select(
-        "_class",
-        "_slice",
+        *parts,
         (F.sum("_size").over(up_to) - F.col("_size")).alias("_start"),
-        F.sum("_size").over(Window.partitionBy("_class")).alias("_total"),
-    )
-    in_slice = Window.partitionBy("_class", "_slice").orderBy("_hash", key)
-    joined = hashed.withColumn("_row", F.row_number().over(in_slice) - 1).join(
-        starts, ["_class", "_slice"]
+        F.sum("_size").over(Window.partitionBy(parts[1])).alias("_total"),
     )
+    in_slice = Window.partitionBy(*parts).orderBy("_hash", key)
+    joined = hashed.withColumn("_row", F.row_number().over(in_slice) - 1).join(starts, parts)
     rank, total = F.col("_start") + F.col("_row"), F.col("_total")
     # The first total % k folds hold one row more than the others.
     small, large = F.floor(total / k), total % k

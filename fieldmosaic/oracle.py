@@ -375,7 +375,7 @@ def statements() -> dict[str, str]:
     )
     s["folds"] = _with(
         *LABELLED,
-        then="SELECT key, label, (ntile(3) OVER (PARTITION BY label ORDER BY md5(key), key) - 1)::INT AS fold FROM labelled",
+        then="SELECT key, label, (ntile(3) OVER (PARTITION BY label ORDER BY ('0x' || substr(md5(key), 1, 15))::BIGINT, key) - 1)::INT AS fold FROM labelled",
     )
     s["folds_hash"] = _with(
         *LABELLED, then=f"SELECT key, label, (({_hash('key', 'fold')} * 3) >> 32)::INT AS fold FROM labelled"

@@ -37,13 +37,14 @@ def test_random_split_and_pools_are_disjoint_and_complete(spark):
     assert pools.filter("is_validation").count() == test.count()
 
 
-@pytest.mark.parametrize("k,digits", [(3, 4), (5, 1), (7, 2)])
-def test_folds_are_exact_per_class(spark, k, digits):
+@pytest.mark.parametrize("k,bits", [(3, 16), (5, 0), (7, 6)])
+def test_folds_are_exact_per_class(spark, k, bits):
     df = keyed(spark)
-    got = splits.stratified_folds(df.repartition(5), "key", k=k, digits=digits)
+    got = splits.stratified_folds(df.repartition(5), "key", k=k, bits=bits)
     from pyspark.sql import Window
 
-    plain = df.withColumn("fold", F.ntile(k).over(Window.partitionBy("label").orderBy(F.md5("key"), "key")) - 1)
+    word = F.conv(F.substring(F.md5("key"), 1, 15), 16, 10).cast("bigint")
+    plain = df.withColumn("fold", F.ntile(k).over(Window.partitionBy("label").orderBy(word, "key")) - 1)
     assert set(map(tuple, got.collect())) == set(map(tuple, plain.select(*got.columns).collect()))
     sizes = got.groupBy("label", "fold").count().groupBy("label").agg(
         (F.max("count") - F.min("count")).alias("d"), F.count("*").alias("f")
