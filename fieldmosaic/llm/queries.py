@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldmosaic.llm import packing, token_files
+from fieldmosaic.llm import line_dedup, packing, token_files
 from fieldmosaic.llm.common import documents
 from fieldmosaic.session import new_path
 
@@ -28,11 +29,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5")
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": line_dedup.SQL}
