@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmosaic.llm import line_dedup, packing, token_files
+from fieldmosaic.llm import boosted_quality, byte_bpe, fingerprints, line_dedup, packing, quality_rules, token_files
 from fieldmosaic.llm.common import documents
+from fieldmosaic.llm.labelled import remainder
 from fieldmosaic.session import new_path
 
 
@@ -22,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
     return placed.select(
@@ -29,16 +34,41 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir)).select(
+        "doc_id", *quality_rules.BASE, "base_failed", "kept"
+    )
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5")
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trees = boosted_quality.train(docs, labels, remainder(4) != 2)
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    return boosted_quality.score(docs, trees).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 
