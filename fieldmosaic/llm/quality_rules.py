@@ -40,8 +40,8 @@ _VOID = r"[^\x20\x09-\x0D]"
 class Limits:
     """Largest distances that stay, and the words from which a comparison is made."""
 
-    classes: float = 0.45
-    common: float = 0.60
+    classes: float = 0.3
+    common: float = 0.25
     class_words: int = 20
     common_words: int = 100
 

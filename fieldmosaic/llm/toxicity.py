@@ -60,6 +60,8 @@ SWAP, REPEAT, DROP, STRAY = 1.0, 0.5, 0.3, 12.0
 #: Longest run that is read as one disguised word.
 DISGUISED = 60
 LENGTHS = (4, 5, 6, 7)
+#: Precision of a feature at least.
+PRECISE = 0.75
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -230,7 +232,7 @@ def train(
         p = n / (n + other)
         ratio = n * math.log(p / share) + (other * math.log((1 - p) / (1 - share)) if other else 0.0)
         smooth = (n + share) / (n + other + 1)
-        if p > share and ratio > math.log(len(a)) + 2 and smooth >= 0.5:
+        if p > share and ratio > math.log(len(a)) + 2 and smooth >= PRECISE:
             precision[f] = smooth
     return Model(cost, precision, share / 4)
 
