@@ -84,6 +84,20 @@ PIXELS = (
     ("CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END", "value"),
 )
 
+# The same with every other tile in UTM on ETRS 89 or in the target system itself.
+MIXED_PIXELS = (
+    PIXELS[0],
+    (
+        "CASE WHEN event_id % 11 = 10 THEN '' WHEN event_id % 4 = 1 THEN concat('EPSG: 258', CAST(29 + event_id % 7 AS VARCHAR(20))) "
+        "WHEN event_id % 4 = 3 THEN 'EPSG: 3035' ELSE concat('EPSG: 326', CAST(29 + event_id % 7 AS VARCHAR(20))) END",
+        "srs",
+    ),
+    *PIXELS[2:],
+)
+
+# Whole numbers of 16 digits, beyond what a double holds.
+SERIAL = ("9007199254740993 + 2 * l_orderkey", "serial")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -111,5 +125,9 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "events"), *TILES)
 
 
+def mixed_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(table(spark, sf_dir, "events"), *MIXED_PIXELS)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "events"), *PIXELS)

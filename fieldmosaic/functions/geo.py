@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmosaic.functions.naming import TARGET_EPSG, UNKNOWN_ZONE
+
 # WGS 84 and GRS 80 ellipsoids, UTM grid, and the EPSG:3035 grid.
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 GRS80_A, GRS80_F = 6378137.0, 1 / 298.257222101
@@ -20,30 +22,36 @@ UTM_SCALE, UTM_FALSE_EASTING, UTM_SOUTH_NORTHING = 0.9996, 500000.0, 10000000.0
 LAEA_LAT0, LAEA_LON0 = math.radians(52.0), math.radians(10.0)
 LAEA_FALSE_EASTING, LAEA_FALSE_NORTHING = 4321000.0, 3210000.0
 
-_N = WGS84_F / (2 - WGS84_F)
-_RECTIFYING = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64) * UTM_SCALE
-_TM_E = 2 * math.sqrt(_N) / (1 + _N)
-
-# Krueger series, geographic -> grid, grid -> geographic, and
-# conformal -> geographic latitude.
-_ALPHA = (
-    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
-    13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
-    61 * _N**3 / 240 - 103 * _N**4 / 140,
-    49561 * _N**4 / 161280,
-)
-_BETA = (
-    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
-    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
-    17 * _N**3 / 480 - 37 * _N**4 / 840,
-    4397 * _N**4 / 161280,
-)
-_DELTA = (
-    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
-    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
-    56 * _N**3 / 15 - 136 * _N**4 / 35,
-    4279 * _N**4 / 630,
-)
+def _krueger(flattening: float) -> dict[str, tuple[float, ...]]:
+    """Krueger series of an ellipsoid, geographic -> grid (alpha), grid ->
+    geographic (beta), and conformal -> geographic latitude (delta), with the radius of the
+    rectifying sphere and the constant of the conformal latitude."""
+    n = flattening / (2 - flattening)
+    return {
+        "radius": (WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * UTM_SCALE,),
+        "e": (2 * math.sqrt(n) / (1 + n),),
+        "alpha": (
+            n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
+            13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+            61 * n**3 / 240 - 103 * n**4 / 140,
+            49561 * n**4 / 161280,
+        ),
+        "beta": (
+            n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+            n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+            17 * n**3 / 480 - 37 * n**4 / 840,
+            4397 * n**4 / 161280,
+        ),
+        "delta": (
+            2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+            7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+            56 * n**3 / 15 - 136 * n**4 / 35,
+            4279 * n**4 / 630,
+        ),
+    }
+
+
+_WGS84, _GRS80 = _krueger(WGS84_F), _krueger(GRS80_F)
 
 _E2 = GRS80_F * (2 - GRS80_F)
 _E = math.sqrt(_E2)
@@ -96,11 +104,32 @@ def _steps(df: DataFrame, steps: dict[str, Column], first: str, second: str) ->
 
 
 def utm_code(epsg: Column) -> Column:
-    """Integer UTM code (326zz north, 327zz south) of ``'EPSG326zz'``; null otherwise."""
-    code = F.regexp_extract(epsg, "^EPSG(32[67](?:0[1-9]|[1-5][0-9]|60))$", 1)
+    """Integer UTM code of ``'EPSG326zz'`` (WGS 84, 326zz north, 327zz south) or
+    ``'EPSG258zz'`` (ETRS 89, zones 28 to 38); null otherwise."""
+    code = F.regexp_extract(epsg, "^EPSG(32[67](?:0[1-9]|[1-5][0-9]|60)|258(?:2[89]|3[0-8]))$", 1)
     return F.when(code != "", code.cast("int"))
 
 
+def source_code(zone: Column) -> Column:
+    """Code of a zone that can be brought to the target: a UTM code, or the target's own.
+
+    Null for the unknown zone alone. Every other readable system stops the job, for
+    leaving its tiles out would make a hole nobody hears of.
+    """
+    problem = F.raise_error(F.concat(F.lit("no way from this coordinate system: "), zone)).cast("int")
+    known = F.coalesce(utm_code(zone), F.when(zone == TARGET_EPSG, F.lit(int(TARGET_EPSG[4:]))), problem)
+    return F.when(zone.isNotNull() & (zone != UNKNOWN_ZONE), known)
+
+
+def is_target(code: Column) -> Column:
+    return code == int(TARGET_EPSG[4:])
+
+
+def _of(code: Column, name: str) -> list[Column]:
+    """Constants of the code's ellipsoid: GRS 80 for ETRS 89, else WGS 84."""
+    return [F.when(code < 26000, F.lit(e)).otherwise(F.lit(w)) for e, w in zip(_GRS80[name], _WGS84[name])]
+
+
 def _central_meridian(code: Column) -> Column:
     return F.radians((code % 100) * 6 - F.lit(183.0))
 
@@ -113,15 +142,16 @@ def utm_to_geographic(df: DataFrame, x: str, y: str, code: str, lat: str, lon: s
     """Add latitude and longitude (radians) of UTM coordinates."""
     c = F.col
     xi, eta, chi = c("_xi"), c("_eta"), c("_chi")
+    (radius,), beta, delta = (_of(c(code), name) for name in ("radius", "beta", "delta"))
     steps = {
-        "_xi": (c(y) - _false_northing(c(code))) / _RECTIFYING,
-        "_eta": (c(x) - UTM_FALSE_EASTING) / _RECTIFYING,
+        "_xi": (c(y) - _false_northing(c(code))) / radius,
+        "_eta": (c(x) - UTM_FALSE_EASTING) / radius,
         "_xi1": xi
-        - _total(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_BETA, 1)),
+        - _total(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(beta, 1)),
         "_eta1": eta
-        - _total(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_BETA, 1)),
+        - _total(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(beta, 1)),
         "_chi": F.asin(F.sin("_xi1") / F.cosh("_eta1")),
-        lat: chi + _total(d * F.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1)),
+        lat: chi + _total(d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)),
         lon: _central_meridian(c(code)) + F.atan2(F.sinh("_eta1"), F.cos("_xi1")),
     }
     return _steps(df, steps, lat, lon)
@@ -131,19 +161,20 @@ def geographic_to_utm(df: DataFrame, lat: str, lon: str, code: str, x: str, y: s
     """Add UTM coordinates of latitude and longitude (radians)."""
     c = F.col
     xi, eta, t, cos = c("_xi1"), c("_eta1"), c("_t"), c("_cos_dlon")
+    (radius,), (e,), alpha = (_of(c(code), name) for name in ("radius", "e", "alpha"))
     steps = {
         "_sin": F.sin(lat),
         "_dlon": c(lon) - _central_meridian(c(code)),
         "_cos_dlon": F.cos("_dlon"),
-        "_t": F.sinh(F.atanh("_sin") - _TM_E * F.atanh(_TM_E * c("_sin"))),
+        "_t": F.sinh(F.atanh("_sin") - e * F.atanh(e * c("_sin"))),
         "_xi1": F.atan2(t, cos),
         "_eta1": F.asinh(F.sin("_dlon") / F.sqrt(t * t + cos * cos)),
         x: UTM_FALSE_EASTING
-        + _RECTIFYING
-        * (eta + _total(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))),
+        + radius
+        * (eta + _total(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))),
         y: _false_northing(c(code))
-        + _RECTIFYING
-        * (xi + _total(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))),
+        + radius
+        * (xi + _total(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))),
     }
     return _steps(df, steps, x, y)
 

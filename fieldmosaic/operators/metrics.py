@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Classes of a matrix or document at most; more is an error, nothing is left out.
 MAX_MATRIX_CLASSES = 10_000
 
 
 def accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Share of right rows, and the test error."""
-    right = F.count_if(F.col(label).eqNullSafe(F.col(prediction)))
+    """Share of right rows, and the test error. A null on either side is never right."""
+    right = F.count_if(F.col(label) == F.col(prediction))
     return pred.agg((right / F.count(F.lit(1))).alias("accuracy")).withColumn(
         "test_error", 1 - F.col("accuracy")
     )
@@ -31,20 +32,30 @@ def confusion_matrix(
     label: str = "label",
     prediction: str = "prediction",
 ) -> DataFrame:
-    """One row per true class, one column per predicted class.
+    """One row per class, true or predicted, one column per predicted class.
 
     Columns must be known to plan the query, so without ``classes`` the class
-    names (not rows) are fetched, and too many of them is an error.
+    names (not rows) are fetched, and more than ``MAX_MATRIX_CLASSES`` is an error. A
+    label or prediction that is not among given ``classes`` stops the job. Pairs with
+    a null on one side belong to no cell; ``confusion_counts`` has them.
     """
-    pairs = confusion_counts(pred, label, prediction)
+    pairs = confusion_counts(pred, label, prediction).dropna(subset=[label, prediction])
     if classes is None:
         found = _classes(pairs, label, prediction).limit(MAX_MATRIX_CLASSES + 1).collect()
         if len(found) > MAX_MATRIX_CLASSES:
             raise ValueError("too many classes for a matrix; use confusion_counts")
         classes = sorted(r["class"] for r in found)
-    return (
-        pairs.groupBy(label).pivot(prediction, list(classes)).agg(F.sum("n")).na.fill(0, list(classes))
-    )
+    names = list(classes)
+
+    def listed(name: str):
+        problem = F.raise_error(F.concat(F.lit(f"{name} is not a listed class: "), F.col(name).cast("string")))
+        return F.when(F.col(name).isin(names), F.col(name)).otherwise(problem).alias(name)
+
+    zeros = pred.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("_class"))
+    same = F.col("_class").cast(pairs.schema[label].dataType)
+    rows = zeros.select(same.alias(label), same.alias(prediction), F.lit(0).cast("bigint").alias("n"))
+    known = pairs.select(listed(label), listed(prediction), "n").unionByName(rows)
+    return known.groupBy(label).pivot(prediction, names).agg(F.sum("n")).na.fill(0, names)
 
 
 def _classes(pairs: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -94,16 +105,23 @@ def precision_recall_fscore_support(
 
 
 def rank_candidates(results: DataFrame) -> DataFrame:
-    """Grid-search rows, best mean score first; equal scores in parameter order."""
-    return results.orderBy(F.desc("mean_test_score"), "params")
+    """Grid-search rows with ``position`` from 1 on: best mean score first, equal scores in
+    parameter order. The rows are few, one per candidate."""
+    return _positions(results, F.desc("mean_test_score"), F.col("params"))
+
+
+def _positions(rows: DataFrame, *order) -> DataFrame:
+    place = F.row_number().over(Window.orderBy(*order))
+    return rows.withColumn("position", place).orderBy("position")
 
 
 def best_candidate(results: DataFrame) -> DataFrame:
-    return rank_candidates(results).limit(1)
+    return rank_candidates(results).filter("position = 1")
 
 
 def rank_importance(importance: DataFrame) -> DataFrame:
-    return importance.orderBy(F.desc("importance"), "band")
+    """Bands with ``position`` from 1 on, strongest first; one row per band."""
+    return _positions(importance, F.desc("importance"), F.col("band"))
 
 
 def nonzero_importance(importance: DataFrame) -> DataFrame:
@@ -118,13 +136,18 @@ def results_document(
 ) -> DataFrame:
     """Importance pairs and metrics as one row of arrays, classes and bands in order.
 
-    Only per-band and per-class rows reach the arrays, never samples.
+    Only per-band and per-class rows reach the arrays, never samples; more than
+    ``MAX_MATRIX_CLASSES`` of either is an error.
     """
     spark = pred.sparkSession
 
     def arranged(df: DataFrame, order, **values):
         rows = F.array_sort(F.collect_list(F.struct(*order, *(v.alias(k) for k, v in values.items()))))
-        return df.agg(rows.alias("rows")).scalar()
+        # one row more than the bound is enough to know, and no larger array is built
+        bounded = df.limit(MAX_MATRIX_CLASSES + 1).agg(rows.alias("rows"))
+        problem = F.raise_error(F.lit("too many rows for a results document"))
+        fits = F.size("rows") <= MAX_MATRIX_CLASSES
+        return bounded.select(F.when(fits, F.col("rows")).otherwise(problem).alias("rows")).scalar()
 
     pairs = arranged(
         importance, (-F.col("importance"), F.col("band")),

@@ -9,8 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmosaic.functions.geo import (
     LAEA_FALSE_EASTING,
@@ -18,13 +19,18 @@ from fieldmosaic.functions.geo import (
     LAEA_RADIUS,
     geographic_to_laea,
     geographic_to_utm,
+    is_target,
     laea_to_geographic,
-    utm_code,
+    source_code,
     utm_to_geographic,
 )
 from fieldmosaic.session import broadcast_if_small
 
 
+def _has_data(value: str) -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(value)
+
+
 def mosaic_pixels(
     pixels: DataFrame, keys: Sequence[str] = ("zone", "px", "py"), nodata: float | None = None
 ) -> DataFrame:
@@ -33,7 +39,7 @@ def mosaic_pixels(
     ``max_by`` over fixed-width values hashes and combines before the shuffle,
     so a cell covered by very many sources stays one row per task.
     """
-    valid = F.col("value").isNotNull() & ~F.isnan("value")
+    valid = _has_data("value")
     if nodata is not None:
         valid = valid & (F.col("value") != nodata)
     return (
@@ -46,24 +52,30 @@ def mosaic_pixels(
 def reproject(points: DataFrame, x: str = "x", y: str = "y", zone: str = "zone") -> DataFrame:
     """Add EPSG:3035 coordinates ``tx, ty`` to points of UTM zones.
 
-    The zone parameters follow from the code, so this is a map over columns.
-    Points of other systems get nulls.
+    The zone parameters follow from the code, so this is a map over columns. Points
+    that are in EPSG:3035 keep their coordinates, points of the unknown zone get nulls,
+    and those of any other system stop the job.
     """
     keep = points.columns
     located = utm_to_geographic(
-        points.withColumn("_code", utm_code(F.col(zone))), x, y, "_code", "_lat", "_lon"
+        points.withColumn("_code", source_code(F.col(zone))), x, y, "_code", "_lat", "_lon"
+    )
+    same = is_target(F.col("_code"))
+    return geographic_to_laea(located, "_lat", "_lon", "_tx", "_ty").select(
+        *keep, *(F.when(same, F.col(a)).otherwise(F.col(f"_{b}")).alias(b) for a, b in ((x, "tx"), (y, "ty")))
     )
-    return geographic_to_laea(located, "_lat", "_lon", "tx", "ty").select(*keep, "tx", "ty")
 
 
 def regrid_nearest(points: DataFrame, resolution: float) -> DataFrame:
-    """Reprojected points to target cells; the point nearest the cell centre wins.
+    """Point gridding: reprojected points to the cells they fall in; the point nearest the
+    cell centre wins. Cells without a point stay empty; ``warp_zones`` leaves no holes.
 
-    The order is one long: distance in millimetres, then source cell, so equal
-    distances always resolve alike and the aggregate stays a hash aggregate.
+    The order is one fixed-width decimal: distance in millimetres, then source cell, so
+    equal distances always resolve alike and the aggregate stays a hash aggregate. It
+    holds cells from -5e9 to 5e9 and distances below 1e15.
     """
     c = F.col
-    centred = points.filter(utm_code(c("zone")).isNotNull()).withColumns(
+    centred = points.filter(source_code(c("zone")).isNotNull()).withColumns(
         {"cx": F.floor(c("tx") / resolution), "cy": F.floor(c("ty") / resolution)}
     ).withColumns(
         {
@@ -72,7 +84,9 @@ def regrid_nearest(points: DataFrame, resolution: float) -> DataFrame:
         }
     )
     millimetres = F.floor(F.sqrt(c("_dx") * c("_dx") + c("_dy") * c("_dy")) * 1000)
-    order = millimetres * 16777216 + F.pmod(c("px"), F.lit(4096)) * 4096 + F.pmod(c("py"), F.lit(4096))
+    cell = [(c(p) + 5_000_000_000).cast("decimal(11,0)") for p in ("px", "py")]
+    width = F.lit(100_000_000_000).cast("decimal(12,0)")
+    order = ((millimetres.cast("decimal(15,0)") * width + cell[0]).cast("decimal(27,0)") * width + cell[1]).cast("decimal(38,0)")
     return (
         centred.withColumn("_order", order)
         .groupBy("zone", "cx", "cy")
@@ -92,7 +106,7 @@ def warp_zones(pixels: DataFrame, source_resolution: float, target_resolution: f
     """
     c = F.col
     r, t = float(source_resolution), float(target_resolution)
-    centres = pixels.filter(utm_code(c("zone")).isNotNull()).select(
+    centres = pixels.filter(source_code(c("zone")).isNotNull()).select(
         "zone", "px", "py", "value",
         ((c("px") + 0.5) * r).alias("x"), ((c("py") + 0.5) * r).alias("y"),
     )
@@ -111,15 +125,15 @@ def warp_zones(pixels: DataFrame, source_resolution: float, target_resolution: f
         moved.select("zone", "px", "py", "value", "ty", "_reach", cells_near("tx").alias("cx"))
         .select("zone", "px", "py", "value", "cx", cells_near("ty").alias("cy"))
         .withColumns(
-            {"_tx": (c("cx") + 0.5) * t, "_ty": (c("cy") + 0.5) * t, "_code": utm_code(c("zone"))}
+            {"_tx": (c("cx") + 0.5) * t, "_ty": (c("cy") + 0.5) * t, "_code": source_code(c("zone"))}
         )
     )
     back = geographic_to_utm(
         laea_to_geographic(near, "_tx", "_ty", "_lat", "_lon"), "_lat", "_lon", "_code", "_x", "_y"
     )
-    return back.filter(
-        (F.floor(c("_x") / r) == c("px")) & (F.floor(c("_y") / r) == c("py"))
-    ).select("zone", "cx", "cy", "value")
+    same = is_target(c("_code"))
+    x, y = F.when(same, c("_tx")).otherwise(c("_x")), F.when(same, c("_ty")).otherwise(c("_y"))
+    return back.filter((F.floor(x / r) == c("px")) & (F.floor(y / r) == c("py"))).select("zone", "cx", "cy", "value")
 
 
 def zone_order(tiles: DataFrame) -> DataFrame:
@@ -145,7 +159,9 @@ def overview_pyramid(
     """Reduced copies ``(level, bx, by, value)``, one per level, empty blocks absent.
 
     ``nearest`` takes a block's first pixel in row order, ``average`` the mean of
-    its pixels. Pixels are first reduced to blocks of the levels' greatest common
+    its pixels. Whole and decimal values are summed exactly and divided once, doubles in
+    whatever order rows arrive. Level 1 is the grid itself; a level below 1 is an error.
+    Null and NaN hold no data, as in ``mosaic_pixels``. Pixels are first reduced to blocks of the levels' greatest common
     divisor; only those few blocks are copied once per level, so the pixels are
     read and shuffled once, however many levels there are.
     """
@@ -153,9 +169,15 @@ def overview_pyramid(
         raise ValueError(f"unknown resampling: {resampling}")
     c = F.col
     wanted = sorted(set(levels))
-    valued = pixels.filter(c("value").isNotNull()).select("px", "py", c("value").cast("double"))
+    if not wanted or wanted[0] < 1:
+        raise ValueError(f"levels from 1 on are asked for: {list(levels)}")
+    whole = isinstance(pixels.schema["value"].dataType, T.IntegralType)
+    valued = pixels.filter(_has_data("value")).select(
+        "px", "py", c("value").cast("decimal(20,0)") if whole else c("value")
+    )
     full = valued.select(
-        F.lit(1).alias("level"), c("px").cast("bigint").alias("bx"), c("py").cast("bigint").alias("by"), "value"
+        F.lit(1).alias("level"), c("px").cast("bigint").alias("bx"), c("py").cast("bigint").alias("by"),
+        c("value").cast("double").alias("value"),
     )
     coarse = [level for level in wanted if level > 1]
     if not coarse:
@@ -192,6 +214,6 @@ def overview_pyramid(
         )
         .transform(reduce("level", "bx", "by"))
     )
-    shown = c("value") if resampling == "nearest" else c("total") / c("n")
+    shown = c("value").cast("double") if resampling == "nearest" else c("total").cast("double") / c("n")
     reduced = reduced.select("level", "bx", "by", shown.alias("value"))
     return full.unionByName(reduced) if 1 in wanted else reduced

@@ -11,9 +11,13 @@ from fieldmosaic.functions.naming import hash_bucket, hash_share
 
 
 def row_key(df: DataFrame) -> Column:
-    """Text key of a whole row; unique once duplicates are dropped."""
-    values = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in df.columns)
-    return F.md5(F.concat_ws("|", *values))
+    """Key of a whole row as text: 64 bits of its values, whatever their number and type.
+
+    Equal rows have equal keys, and different rows different ones but for one pair in
+    2^64. A null differs from every value.
+    """
+    marks = F.concat(*(F.when(F.col(f"`{c}`").isNull(), "n").otherwise("v") for c in df.columns))
+    return F.hex(F.xxhash64(marks, *(F.col(f"`{c}`") for c in df.columns)))
 
 
 def split_random(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmosaic.functions.geo import geographic_to_laea, utm_code, utm_to_geographic
+from fieldmosaic.functions.geo import geographic_to_laea, is_target, source_code, utm_to_geographic
 from fieldmosaic.functions.naming import UNKNOWN_ZONE, zone_of
 
 
@@ -59,8 +59,9 @@ def _extent():
 
 
 def reproject_extents(boxes: DataFrame) -> DataFrame:
-    """Boxes of UTM zones as enclosing EPSG:3035 boxes of their four corners."""
-    boxes = boxes.withColumn("_code", utm_code(F.col("zone"))).filter(F.col("_code").isNotNull())
+    """Boxes of zones as enclosing EPSG:3035 boxes of their four corners. The unknown zone
+    is left out; a system that is neither UTM nor EPSG:3035 stops the job."""
+    boxes = boxes.withColumn("_code", source_code(F.col("zone"))).filter(F.col("_code").isNotNull())
     keep = [c for c in boxes.columns if c != "_code"]
     out = boxes
     for i, (x, y) in enumerate((x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax")):
@@ -73,6 +74,8 @@ def reproject_extents(boxes: DataFrame) -> DataFrame:
         "xmax": F.greatest(*(f"_x{i}" for i in corners)),
         "ymax": F.greatest(*(f"_y{i}" for i in corners)),
     }
+    same = is_target(F.col("_code"))
+    moved = {c: F.when(same, F.col(c)).otherwise(value) for c, value in moved.items()}
     return out.select(*(moved[c].alias(c) if c in moved else F.col(c) for c in keep))
 
 

@@ -53,6 +53,9 @@ def _overridden(weights: DataFrame, label: str, override: dict[str, float] | Non
 def attach_weights(
     df: DataFrame, weights: DataFrame, label: str = "label", max_classes: int = 10_000
 ) -> DataFrame:
-    """One weight per row. The weights are broadcast once their number was checked."""
+    """One weight per row. The weights are broadcast once their number was checked. A row
+    whose label has no weight, null among them, stops the job: it would break a fit."""
     side = broadcast_if_small(weights.select(label, "weight"), max_classes)
-    return df.join(side, label, "left").select(*df.columns, "weight")
+    text = F.coalesce(F.col(label).cast("string"), F.lit("null"))
+    problem = F.raise_error(F.concat(F.lit("no weight for label "), text)).cast("double")
+    return df.join(side, label, "left").select(*df.columns, F.coalesce("weight", problem).alias("weight"))

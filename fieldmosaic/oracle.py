@@ -300,7 +300,8 @@ def statements() -> dict[str, str]:
     distinct = ("crop", f"SELECT DISTINCT {crop_columns} FROM ({CROP[1]})")
     s = {}
 
-    s["read_csv"] = s["read_csv_inferred"] = _with(CROP, then="SELECT * FROM crop")
+    s["read_csv"] = _with(CROP, then="SELECT * FROM crop")
+    s["read_csv_inferred"] = fixtures.derive_sql("lineitem", *fixtures.CROP, fixtures.SERIAL)
     s["drop_duplicates"] = _with(distinct, then="SELECT * FROM crop")
     s["clean_samples"] = _with(distinct, then=f"SELECT * FROM crop WHERE {NO_NULL}")
     s["drop_nulls"] = s["require_band"] = _with(CROP, then=f"SELECT * FROM crop WHERE {NO_NULL}")
@@ -395,7 +396,7 @@ def statements() -> dict[str, str]:
         + ", ".join(f"count(*) FILTER (prediction = '{n}') AS predicted_{n}" for n in TYPE_NAMES)
         + " FROM predicted GROUP BY label",
     )
-    s["ranked_importance"] = _with(*BANDS, then="SELECT * FROM bands WHERE importance <> 0 ORDER BY importance DESC")
+    s["ranked_importance"] = _with(*BANDS, then="SELECT * FROM (SELECT *, row_number() OVER (ORDER BY importance DESC, band)::INT AS position FROM bands) WHERE importance <> 0")
     s["results_json"] = _with(
         *PER_CLASS,
         ("bands", BANDS[1][1]),
@@ -406,9 +407,10 @@ def statements() -> dict[str, str]:
         "(SELECT list(recall ORDER BY class)[2] FROM scores) AS second_recall, "
         "(SELECT list(fscore ORDER BY class)[3] FROM scores) AS third_fscore",
     )
-    s["ranked_candidates"] = _with(*GUESSES, then="SELECT * FROM candidates")
+    rank = "row_number() OVER (ORDER BY mean_test_score DESC, params)::INT AS position"
+    s["ranked_candidates"] = _with(*GUESSES, then=f"SELECT *, {rank} FROM candidates")
     s["best_candidate"] = _with(
-        *GUESSES, then="SELECT * FROM candidates ORDER BY mean_test_score DESC, params LIMIT 1"
+        *GUESSES, then="SELECT *, 1 AS position FROM candidates ORDER BY mean_test_score DESC, params LIMIT 1"
     )
 
     s["tile_links"] = _links("page", "tion")
@@ -448,10 +450,18 @@ def statements() -> dict[str, str]:
     s["mosaic_pixels"] = _with(*PIXELS, then="SELECT * FROM mosaic")
     s["reproject"] = _with(*MOVED, then="SELECT zone, px, py, round(tx, 3) AS tx, round(ty, 3) AS ty FROM moved")
     s["regrid"] = _with(*REGRID, then="SELECT * FROM regridded")
+    s["warp_systems"] = _with(
+        ("raw", fixtures.derive_sql("events", *fixtures.MIXED_PIXELS)),
+        ("pixels", "SELECT *, replace(replace(srs, ' ', ''), ':', '') AS zone FROM raw WHERE srs <> ''"),
+        ("all_cells", PIXELS[2][1]),
+        ("mosaic", "SELECT * FROM all_cells WHERE zone <> 'EPSG3035'"),
+        *WARP[len(PIXELS):],
+        then="SELECT zone, cx, cy, value FROM warped UNION ALL SELECT zone, px, py, value FROM all_cells WHERE zone = 'EPSG3035'",
+    )
     s["combine_zones"] = _with(
-        *REGRID,
+        *WARP,
         _STACK,
-        then="SELECT cx, cy, value FROM regridded JOIN stack USING (zone) "
+        then="SELECT cx, cy, value FROM warped JOIN stack USING (zone) "
         "QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY zone_seq DESC) = 1",
     )
     s["warp_zones"] = _with(*WARP, then="SELECT * FROM warped")
@@ -469,7 +479,7 @@ def statements() -> dict[str, str]:
         *GRID,
         then=_pyramid((32, 64, 128), "arg_min(value, py * 1000000 + px)"),
     )
-    s["overview_average"] = _with(*GRID, then=_pyramid((32, 48, 128), "round(avg(value), 6)"))
+    s["overview_average"] = _with(*GRID, then=_pyramid((32, 48, 128), "sum(round(value * 100)::BIGINT)::DOUBLE / count(*)"))
     s["publish"] = _with(
         *PIXELS,
         then="SELECT zone, px, py, CASE WHEN zone = 'EPSG32630' THEN value + 1 ELSE value END AS value, seq FROM mosaic",

@@ -49,7 +49,7 @@ def read_csv(spark, sf):
 def read_csv_inferred(spark, sf):
     path = new_path(spark, "samples-csv")
     indexed = fixtures.derive(
-        fixtures.table(spark, sf, "lineitem"), ("l_linenumber", "row"), *fixtures.CROP
+        fixtures.table(spark, sf, "lineitem"), ("l_linenumber", "row"), *fixtures.CROP, fixtures.SERIAL
     )
     indexed.write.option("header", True).option("nullValue", "NA").csv(path)
     return samples.read_samples(spark, path, infer=True)
@@ -531,10 +531,19 @@ def warp_zones(spark, sf):
     return raster.warp_zones(raster.mosaic_pixels(_zone_pixels(spark, sf)), PIXEL_SIZE, PIXEL_SIZE)
 
 
+@query
+def warp_systems(spark, sf):
+    """Tiles in UTM on WGS 84, in UTM on ETRS 89, in the target system and in none."""
+    mixed = tiles.zone_sources(fixtures.mixed_pixels(spark, sf)).drop("srs")
+    return raster.warp_zones(raster.mosaic_pixels(mixed), PIXEL_SIZE, PIXEL_SIZE)
+
+
 @query
 def combine_zones(spark, sf):
-    cells = raster.regrid_nearest(_reprojected(spark, sf), PIXEL_SIZE)
-    return raster.combine_zones(cells, raster.zone_order(_zone_pixels(spark, sf)))
+    cells = raster.warp_zones(raster.mosaic_pixels(_zone_pixels(spark, sf)), PIXEL_SIZE, PIXEL_SIZE)
+    # the order comes from the tile index, one row per tile, not from the pixels
+    order = tiles.zone_mosaic(fixtures.tiles(spark, sf)).select("zone", F.col("first_seq").alias("zone_seq"))
+    return raster.combine_zones(cells, order)
 
 
 @query
@@ -544,8 +553,10 @@ def overview_pyramid(spark, sf):
 
 @query
 def overview_average(spark, sf):
-    blocks = raster.overview_pyramid(_single_grid(spark, sf), (128, 32, 48, 32), "average")
-    return blocks.withColumn("value", F.round("value", 6))
+    """Means of whole hundredths, which are exact up to one division."""
+    hundredths = F.round(F.col("value") * 100).cast("bigint")
+    grid = _single_grid(spark, sf).withColumn("value", hundredths)
+    return raster.overview_pyramid(grid, (128, 32, 48, 32), "average")
 
 
 def _single_grid(spark, sf) -> DataFrame:
@@ -558,11 +569,12 @@ def _single_grid(spark, sf) -> DataFrame:
 @query
 def publish(spark, sf):
     path = new_path(spark, "published")
-    cells = raster.mosaic_pixels(_zone_pixels(spark, sf))
-    sinks.publish_partitions(cells, path)
-    # A second delivery replaces only the zones it holds.
-    newer = cells.withColumn("value", F.col("value") + 1)
-    sinks.publish_partitions(newer.filter(F.col("zone") == "EPSG32630"), path)
+    again = new_path(spark, "delivery")
+    sinks.publish_partitions(raster.mosaic_pixels(_zone_pixels(spark, sf)), path)
+    # A second delivery, from what is published, replaces only the zones it holds.
+    newer = spark.read.parquet(path).filter(F.col("zone") == "EPSG32630").withColumn("value", F.col("value") + 1)
+    newer.write.parquet(again)
+    sinks.publish_partitions(spark.read.parquet(again), path)
     return spark.read.parquet(path)
 
 

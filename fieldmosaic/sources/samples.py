@@ -33,17 +33,19 @@ def _typed(name: str, kind: str) -> Column:
 
 
 def infer_sample_types(raw: DataFrame) -> dict[str, str]:
-    """int, double or string per column, found in one aggregate pass over text columns."""
+    """int, bigint, double or string per column, found in one aggregate pass over text columns."""
     checks = []
     for i, name in enumerate(raw.columns):
         present = _present(name)
         number = F.when(present.isNotNull(), present.try_cast("double").isNotNull())
-        integer = F.when(present.isNotNull(), present.rlike("^\\s*[+-]?[0-9]{1,9}\\s*$"))
+        digits = present.rlike("^\\s*[+-]?[0-9]+\\s*$")
         checks.append(F.coalesce(F.bool_and(number), F.lit(True)).alias(f"n{i}"))
-        checks.append(F.coalesce(F.bool_and(integer), F.lit(False)).alias(f"i{i}"))
+        for mark, kind in (("i", "int"), ("l", "bigint")):
+            whole = F.when(present.isNotNull(), digits & present.try_cast(kind).isNotNull())
+            checks.append(F.coalesce(F.bool_and(whole), F.lit(False)).alias(f"{mark}{i}"))
     found = raw.agg(*checks).first()
     return {
-        name: "int" if found[f"i{i}"] else "double" if found[f"n{i}"] else "string"
+        name: "int" if found[f"i{i}"] else "bigint" if found[f"l{i}"] else "double" if found[f"n{i}"] else "string"
         for i, name in enumerate(raw.columns)
     }
 
@@ -73,6 +75,20 @@ _HIDDEN_HTML = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
 _ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
+def _numeric_references(text: Column) -> Column:
+    """``&#39;`` and ``&#x27;`` as the characters they stand for; others stay as they are."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+
+    def put(done: Column, reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "[0-9a-fA-F]+", 0)
+        base = F.when(reference.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        valid = (base > 0) & (base < 0x110000) & ~base.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(base), 8, "0")), "UTF-32")
+        return F.when(valid, F.replace(done, reference, F.when(valid, char))).otherwise(done)
+
+    return F.when(F.size(found) > 0, F.aggregate(found, text, put)).otherwise(text)
+
+
 def list_links(
     pages: DataFrame, suffix: str = ".tif", prefix: Column | str = "", html: str = "html"
 ) -> DataFrame:
@@ -85,8 +101,9 @@ def list_links(
     visible = F.regexp_replace(F.col(html), _HIDDEN_HTML, "")
     others = [c for c in pages.columns if c != html]
     href = F.regexp_replace("href", "^[\"']|[\"']$", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         href = F.replace(href, F.lit(entity), F.lit(char))
+    href = F.replace(_numeric_references(href), F.lit("&amp;"), F.lit("&"))
     return (
         pages.select(*others, start.alias("_prefix"), F.posexplode(
             F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(1))
