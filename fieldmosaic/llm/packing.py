@@ -79,7 +79,8 @@ def place(histogram: dict[int, int], size: int = SIZE) -> np.ndarray:
                 if packs > n:
                     heapq.heappush(groups, (filled, first + n, packs - n))
             else:
-                filled, first, n = 0, sequences, left
+                # as many new packs as the rest fills, not one for each piece
+                filled, first, n = 0, sequences, -(-left // (size // length))
                 sequences += n
             rows.append((length, rank, n, first, filled))
             if filled + length < size:
