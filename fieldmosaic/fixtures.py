@@ -121,6 +121,10 @@ def wide_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "lineitem"), *WIDE)
 
 
+def keyed_wide_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(table(spark, sf_dir, "lineitem"), *WIDE, (KEY, "key"))
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "events"), *TILES)
 

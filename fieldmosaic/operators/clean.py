@@ -77,13 +77,20 @@ def load_clean(df: DataFrame, integers: bool = False) -> DataFrame:
 
 
 def missing_as_lowest(df: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """Nulls and NaN of double features as the lowest double, for tree learners only.
+    """Nulls and NaN of double and float features as the lowest of their type, for tree
+    learners only.
 
     The variant that requires one band keeps rows with others missing; a tree then
     sees a missing value as below every real one.
     """
-    doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType) and f.name in set(bands)]
-    return df.fillna(-sys.float_info.max, doubles) if doubles else df
+    lowest = {T.DoubleType: -sys.float_info.max, T.FloatType: -3.4028234663852886e38}
+    missing = {
+        f.name: F.when(F.col(f"`{f.name}`").isNull() | F.isnan(f"`{f.name}`"), F.lit(lowest[type(f.dataType)]).cast(f.dataType))
+        .otherwise(F.col(f"`{f.name}`"))
+        for f in df.schema
+        if type(f.dataType) in lowest and f.name in set(bands)
+    }
+    return df.withColumns(missing) if missing else df
 
 
 def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] = ()) -> DataFrame:

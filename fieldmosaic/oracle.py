@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from fieldmosaic import fixtures
 from fieldmosaic.functions import codes
+from fieldmosaic.plans.scenarios import SCENARIOS
 
 TYPE_NAMES = sorted([*codes.TYPE_CLASSES, codes.OTHER_CLASS])
 
@@ -382,6 +383,33 @@ def statements() -> dict[str, str]:
         *LABELLED, then=f"SELECT key, label, (({_hash('key', 'fold')} * 3) >> 32)::INT AS fold FROM labelled"
     )
 
+    s["split_random"] = _with(KEYED, then="SELECT key, count(*) AS times FROM crop GROUP BY key")
+    test = f"{_hash('key', '190')} >= {round(0.7 * 2**32)}"
+    held_out = f"FROM labelled WHERE {NO_NULL} AND {NOT_TYPE} AND {test}"
+    s["train_tree"] = _with(*LABELLED, then=f"SELECT key, label, label AS predicted_label {held_out}")
+    s["model_round_trip"] = _with(*LABELLED, then=f"SELECT key, label, true AS same {held_out}")
+    # A deeper tree fits more, and the code follows from the first band.
+    s["grid_search"] = "SELECT * FROM (VALUES (1, 'maxDepth=7'), (2, 'maxDepth=1')) v(position, params)"
+    s["select_model"] = _with(
+        *LABELLED,
+        ("rows", f"SELECT label, {test} AS held_out FROM labelled WHERE {NO_NULL} AND {NOT_TYPE}"),
+        then="SELECT count(DISTINCT label)::INT AS n_classes, count(*) FILTER (held_out) AS test_rows, "
+        "'B06_p50' AS first_band, 'maxDepth=7' AS best FROM rows",
+    )
+    s["importance"] = "SELECT 6::BIGINT AS n_bands, 1.0::DOUBLE AS total, 'B06_p50' AS first_band"
+    whole = ("wide", fixtures.derive_sql("lineitem", *fixtures.WIDE, (fixtures.KEY, "key")))
+    strata = {"type_46000": "= 46000", "type_22000": "= 22000", "type_43000_6000": "IN (43000, 6000)"}
+    s["scenario_summary"] = _with(
+        whole,
+        ("test", f"SELECT * FROM wide WHERE {NO_NULL} AND {test}"),
+        then=" UNION ALL ".join(
+            f"SELECT '{c.name}' AS scenario, count(*) AS test_rows FROM test "
+            f"WHERE {NOT_SEASON if c.name == 'season_full' else NOT_TYPE}"
+            + (f' AND "groupID" {strata[c.name]}' if c.name in strata else "")
+            for c in SCENARIOS
+        ),
+    )
+
     right = "count(*) FILTER (label = prediction)::DOUBLE / count(*)"
     s["accuracy"] = _with(
         *PREDICTED, then=f"SELECT {right} AS accuracy, 1 - {right} AS test_error FROM predicted"

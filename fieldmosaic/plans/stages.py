@@ -1,45 +1,61 @@
-"""A mosaic job in stages that are written down and can be resumed."""
+"""A mosaic job in stages that are written down and can be resumed, zone by zone."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmosaic.functions.naming import UNKNOWN_ZONE, zone_of
-from fieldmosaic.operators.raster import (
-    combine_zones,
-    mosaic_pixels,
-    overview_pyramid,
-    warp_zones,
-    zone_order,
-)
+from fieldmosaic.functions.naming import UNKNOWN_ZONE
+from fieldmosaic.operators.raster import combine_zones, mosaic_pixels, overview_pyramid, warp_zones
+from fieldmosaic.operators.tiles import with_zone, zone_mosaic
+from fieldmosaic.sources.sinks import publish_partitions
+
+#: Coordinate systems of one job at most; their names are fetched to see which are missing.
+MAX_ZONES = 10_000
 
 
 @dataclass(frozen=True)
 class Stage:
-    """One step, from the written tables of the steps it reads to its own table."""
+    """One step, from the given and the written tables that it reads to its own table.
+
+    ``settings`` is whatever, besides the input, its rows follow from.
+    """
 
     name: str
     build: Callable[[dict[str, DataFrame]], DataFrame]
-    reads: tuple[str, ...] = ()  # besides "source"
-    by_zone: bool = True  # written as one partition per zone
+    reads: tuple[str, ...] = ()  # stages, besides the given tables
+    partition: str | None = "zone"  # written as one folder per value
+    settings: tuple[object, ...] = ()
+
+    @property
+    def by_zone(self) -> bool:
+        return self.partition == "zone"
+
 
+def fingerprint(df: DataFrame) -> str:
+    """A short text that changes with the input.
 
-def fingerprint(df: DataFrame, *settings: object) -> str:
-    """A short text that changes with any row or setting, whatever the row order."""
+    A table read from files is known by their paths, lengths and times of change and by
+    the plan over them, so nothing is read to find out that there is nothing to do.
+    Other tables are known by their rows, in any order.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        parts = sorted(_Folder(spark, f).state() for f in files)
+        return _digest(*parts, df.semanticHash(), df.schema)
     row_hash = F.xxhash64(*(f"`{c}`" for c in df.columns))
     got = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(row_hash).alias("mixed"),
-        F.sum(F.pmod(row_hash, F.lit(2**31 - 1))).alias("summed"),
-        F.xxhash64(*(F.lit(str(s)) for s in settings), F.lit(str(df.schema))).alias("settings"),
+        F.count(F.lit(1)), F.bit_xor(row_hash), F.sum(row_hash.cast("decimal(38,0)"))
     ).first()
-    return "-".join(
-        format((got[c] or 0) & (2**64 - 1), "x") for c in ("rows", "mixed", "summed", "settings")
-    )
+    return _digest(*got, df.schema)
+
+
+def _digest(*parts: object) -> str:
+    return hashlib.sha256("\n".join(map(str, parts)).encode()).hexdigest()[:16]
 
 
 class _Folder:
@@ -53,6 +69,10 @@ class _Folder:
     def child(self, name: str) -> "_Folder":
         return _Folder(self.spark, f"{self.path}/{name}")
 
+    def state(self) -> str:
+        status = self._fs.getFileStatus(self._path)
+        return f"{self.path} {status.getLen()} {status.getModificationTime()}"
+
     def exists(self) -> bool:
         return self._fs.exists(self._path)
 
@@ -71,96 +91,159 @@ class _Folder:
         self._fs.delete(self._path, True)
 
 
-def _record(spark: SparkSession, parts: dict[str, int], path: str) -> None:
+def _record(spark: SparkSession, parts: Mapping[str, int], path: str) -> None:
     rows = spark.createDataFrame(sorted(parts.items()), "part string, bytes long")
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def is_complete(spark: SparkSession, run: str, stage: Stage) -> bool:
-    """Both success marks are there and every listed part still has its size."""
-    folder, manifest = _Folder(spark, f"{run}/{stage.name}"), _Folder(spark, f"{run}/{stage.name}.parts")
-    if not (folder.child("_SUCCESS").exists() and manifest.child("_SUCCESS").exists()):
-        return False
-    listed = {
-        r["part"]: r["bytes"]
-        for r in spark.read.schema("part string, bytes long").json(manifest.path).collect()
-    }
-    return bool(listed) and folder.sizes() == listed
+def _intact(spark: SparkSession, path: str, whole: bool) -> dict[str, int]:
+    """Parts of a stage's table that were recorded after writing and still have their size;
+    none of a ``whole`` table in which any part has not."""
+    folder, manifest = _Folder(spark, path), _Folder(spark, f"{path}.parts")
+    if not (folder.exists() and manifest.child("_SUCCESS").exists()):
+        return {}
+    listed = spark.read.schema("part string, bytes long").json(manifest.path).collect()  # one row per zone or level
+    there = folder.sizes()
+    good = {r["part"]: r["bytes"] for r in listed if there.get(r["part"], 0) == r["bytes"]}
+    return {} if whole and len(good) < len(listed) else good
+
+
+def stage_paths(inputs: Mapping[str, DataFrame], stages: Sequence[Stage], base: str) -> dict[str, str]:
+    """A folder per stage, named after its input, its own settings and, through their names,
+    those of all stages that it reads."""
+    given = _digest(*(f"{name} {fingerprint(df)}" for name, df in sorted(inputs.items())))
+    names: dict[str, str] = {}
+    for stage in stages:
+        names[stage.name] = _digest(given, stage.name, stage.settings, *(names[r] for r in stage.reads))
+    return {n: f"{base.rstrip('/')}/{n}-{d}" for n, d in names.items()}
 
 
 def run_stages(
-    source: DataFrame,
+    source: DataFrame | Mapping[str, DataFrame],
     stages: Sequence[Stage],
     base: str,
     clean: bool = False,
-    settings: Sequence[object] = (),
-) -> tuple[DataFrame, list[str]]:
-    """Bring the last stage about, starting from the furthest stages that are complete.
-
-    A stage runs only when a later one needs its table and the table is not
-    complete. Output lives below ``base`` under the fingerprint of the input, so
-    another tile set or setting never meets old results. Returns the last table
-    and the names of the stages that ran. ``clean`` removes the earlier tables.
+    overwrite: Collection[str] = (),
+    publish: str | None = None,
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Bring the last stage about, making only what is missing.
+
+    ``source`` is the table of pixels, or several tables by name, pixels as ``source``. A
+    stage's folder follows from the input and from all settings it depends on, so changed
+    settings never meet old tables. Stages by zone are resumed by zone: of zones listed by
+    the ``index`` stage those are made that a later stage needs and that are not there
+    whole. Stages named in ``overwrite`` are made anew. Below ``publish``, finished zones
+    and the last table replace what is there of them, by stage name.
+
+    Returns the last table, and per stage that ran the zones it made (none for a table that
+    is made as a whole). ``clean`` removes the earlier tables.
     """
-    spark = source.sparkSession
-    run = f"{base.rstrip('/')}/{fingerprint(source, *settings, *(s.name for s in stages))}"
-    needed, complete = {stages[-1].name}, set()
+    inputs = dict(source) if isinstance(source, Mapping) else {"source": source}
+    spark = inputs["source"].sparkSession
+    paths = stage_paths(inputs, stages, base)
+    known = {s.name: {} if s.name in overwrite else _intact(spark, paths[s.name], not s.by_zone) for s in stages}
+    tables, ran = dict(inputs), {}
+
+    def make(stage: Stage, zones: Sequence[str] | None) -> None:
+        path = paths[stage.name]
+        out = stage.build(tables)
+        if zones is not None:
+            out = out.filter(F.col("zone").isin(list(zones)))
+        writer = out
+        if stage.partition:
+            writer = out.hint("rebalance", F.col(stage.partition))
+        write = writer.write.mode("overwrite").option("partitionOverwriteMode", "static" if zones is None else "dynamic")
+        (write.partitionBy(stage.partition) if stage.partition else write).parquet(path)
+        parts = _Folder(spark, path).sizes()
+        if not parts:
+            raise RuntimeError(f"stage {stage.name} wrote no data")
+        if zones is not None:
+            # a zone without data has no folder; it is recorded all the same, as made
+            made = {f"zone={z}": parts.get(f"zone={z}", 0) for z in zones}
+            parts = {**known[stage.name], **made}
+        _record(spark, parts, f"{path}.parts")
+        ran[stage.name] = list(zones or [])
+        known[stage.name] = parts
+        tables[stage.name] = spark.read.parquet(path)
+        if publish and (stage.by_zone or stage is stages[-1]):
+            done = tables[stage.name]
+            publish_partitions(done.filter(F.col("zone").isin(list(zones))) if zones else done, f"{publish}/{stage.name}", stage.partition)
+
+    by_name = {s.name: s for s in stages}
+    wanted: list[str] = []
+    if "index" in by_name:
+        if not known["index"]:
+            make(by_name["index"], None)
+        tables["index"] = spark.read.parquet(paths["index"])
+        found = tables["index"].select("zone").orderBy("zone").limit(MAX_ZONES + 1).collect()
+        if len(found) > MAX_ZONES:
+            raise ValueError(f"more than {MAX_ZONES} coordinate systems")
+        wanted = [r["zone"] for r in found]
+        if not wanted:
+            raise RuntimeError("stage index wrote no data")
+    todo: dict[str, list[str] | None] = {}
+    asked: dict[str, set[str]] = {stages[-1].name: set(wanted)}
     for stage in reversed(stages):
-        if stage.name in needed:
-            if is_complete(spark, run, stage):
-                complete.add(stage.name)
-            else:
-                needed.update(stage.reads)
-    tables = {"source": source}
-    ran = []
-    for stage in stages:
-        if stage.name not in needed:
+        if stage.name not in asked or stage.name == "index":
             continue
-        path = f"{run}/{stage.name}"
-        if stage.name not in complete:
-            out = stage.build(tables)
-            if stage.by_zone:
-                out = out.hint("rebalance", F.col("zone"))
-            writer = out.write.mode("overwrite")
-            (writer.partitionBy("zone") if stage.by_zone else writer).parquet(path)
-            parts = _Folder(spark, path).sizes()
-            if not parts:
-                raise RuntimeError(f"stage {stage.name} wrote no data")
-            _record(spark, parts, f"{path}.parts")
-            ran.append(stage.name)
-        tables[stage.name] = spark.read.parquet(path)
+        if stage.by_zone:
+            missing = [z for z in wanted if z in asked[stage.name] and f"zone={z}" not in known[stage.name]]
+            todo[stage.name] = missing
+        else:
+            missing = wanted if not known[stage.name] else []
+            todo[stage.name] = None if missing else []
+        if missing:
+            for name in stage.reads:
+                asked.setdefault(name, set()).update(missing)
+    for stage in stages:
+        zones = todo.get(stage.name, [])
+        if zones is None or zones:
+            make(stage, zones)
+        elif known[stage.name]:
+            tables[stage.name] = spark.read.parquet(paths[stage.name])
     if clean:
         for stage in stages[:-1]:
-            _Folder(spark, f"{run}/{stage.name}").remove()
-            _Folder(spark, f"{run}/{stage.name}.parts").remove()
+            if stage.name != "index":  # small, and what a later run starts from
+                _Folder(spark, paths[stage.name]).remove()
+                _Folder(spark, f"{paths[stage.name]}.parts").remove()
     return tables[stages[-1].name], ran
 
 
 def mosaic_stages(
     source_resolution: float, target_resolution: float, levels: Sequence[int] = (32, 64, 128)
 ) -> list[Stage]:
-    """Tiles to zones, zone mosaics, reprojected zones, combined mosaic with overviews.
+    """Index, tiles to zones, zone mosaics, reprojected zones, combined mosaic with overviews.
 
-    The source holds one row per tile pixel: ``seq, srs, px, py, value``.
+    The table ``source`` holds one row per tile pixel: ``seq, srs, px, py, value``. Tables
+    ``tiles`` (``seq, url, srs`` and extent) and ``links`` (``url``), if given, make the
+    index: tiles that a listing has, by zone. Without them it comes from the pixels.
     """
 
+    def index(t: dict[str, DataFrame]) -> DataFrame:
+        if "tiles" not in t:
+            known = with_zone(t["source"]).filter(F.col("zone") != UNKNOWN_ZONE)
+            return known.groupBy("zone").agg(F.min("seq").alias("first_seq"))
+        listed = t["tiles"].join(t["links"].select("url").distinct(), "url", "left_semi") if "links" in t else t["tiles"]
+        return zone_mosaic(listed)
+
     def zones(t: dict[str, DataFrame]) -> DataFrame:
-        known = t["source"].withColumn("zone", zone_of(F.col("srs")))
-        return known.filter(F.col("zone") != UNKNOWN_ZONE).drop("srs")
+        return with_zone(t["source"]).drop("srs")
 
     def combined(t: dict[str, DataFrame]) -> DataFrame:
-        cells = combine_zones(t["reprojected"], zone_order(t["zones"]))
+        order = t["index"].select("zone", F.col("first_seq").alias("zone_seq"))
         # The mosaic itself is level 1, the overviews follow.
-        cells = cells.withColumnsRenamed({"cx": "px", "cy": "py"})
+        cells = combine_zones(t["reprojected"], order).withColumnsRenamed({"cx": "px", "cy": "py"})
         return overview_pyramid(cells, (1, *levels))
 
     return [
-        Stage("zones", zones),
+        Stage("index", index, partition=None),
+        Stage("zones", zones, ("index",)),
         Stage("zone_mosaics", lambda t: mosaic_pixels(t["zones"]), ("zones",)),
         Stage(
             "reprojected",
             lambda t: warp_zones(t["zone_mosaics"], source_resolution, target_resolution),
             ("zone_mosaics",),
+            settings=(float(source_resolution), float(target_resolution)),
         ),
-        Stage("combined", combined, ("zones", "reprojected"), by_zone=False),
+        Stage("combined", combined, ("index", "reprojected"), partition="level", settings=tuple(sorted(set(levels)))),
     ]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldmosaic import fixtures
 from fieldmosaic.functions import codes, naming
 from fieldmosaic.operators import clean, labels, learn, metrics, raster, splits, tiles, weights
-from fieldmosaic.plans import scenarios, stages
+from fieldmosaic.plans import scenarios, selection, stages
 from fieldmosaic.session import new_path, tune
 from fieldmosaic.sources import samples, sinks
 
@@ -236,7 +236,8 @@ def split_hash(spark, sf):
 @query
 def split_random(spark, sf):
     train, test = splits.split_random(fixtures.crop(spark, sf, keyed=True))
-    return splits.make_pools(train.select("key"), test.select("key"))
+    pools = splits.make_pools(train.select("key"), test.select("key"))
+    return pools.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query
@@ -377,6 +378,17 @@ def train_score(spark, sf):
     )
 
 
+@query
+def train_tree(spark, sf):
+    """The code follows from one band, so a single deep tree must give back every label."""
+    rows = _training_rows(spark, sf)
+    model = learn.train_classifier(
+        rows, ["groupID", "zoneID", *FOUR_BANDS], algorithm="forest", numTrees=1, maxDepth=20, maxBins=128,
+        bootstrap=False, featureSubsetStrategy="all", seed=1,
+    )
+    return learn.predict(model, rows.filter("is_validation")).select("key", "label", "predicted_label")
+
+
 @query
 def train_boosted(spark, sf):
     """Watched one-vs-rest boosted trees with balanced weights."""
@@ -394,37 +406,55 @@ def train_boosted(spark, sf):
 def grid_search(spark, sf):
     rows = splits.stratified_folds(_training_rows(spark, sf), "key")
     table, _ = learn.grid_search(
-        rows.filter(~F.col("is_validation")), FOUR_BANDS, {"maxDepth": [3, 6]},
-        algorithm="forest", numTrees=5, seed=1,
+        rows.filter(~F.col("is_validation")), FOUR_BANDS, {"depth": [1, 7]},
+        algorithm="forest", iterations=20, seed=1,
     )
-    return metrics.rank_candidates(table)
+    return metrics.rank_candidates(table).select("position", "params")
 
 
 @query
 def importance(spark, sf):
     rows = _training_rows(spark, sf)
-    return learn.importance_table(_forest(rows), rows)
+    table = metrics.rank_importance(learn.importance_table(_forest(rows), rows))
+    first = F.max(F.when(F.col("position") == 1, F.col("band"))).alias("first_band")
+    return table.agg(F.count(F.lit(1)).alias("n_bands"), F.round(F.sum("importance"), 9).alias("total"), first)
 
 
 @query
 def scenario_summary(spark, sf):
     path = new_path(spark, "sample-table")
-    sinks.write_sample_table(clean.load_clean(fixtures.wide_crop(spark, sf)), path)
-    scored = scenarios.train_scenarios(
-        spark.read.parquet(path), algorithm="forest", numTrees=3, maxDepth=4, seed=1
-    )
-    return scenarios.summarise(scored)
+    sinks.write_sample_table(clean.load_clean(fixtures.keyed_wide_crop(spark, sf)), path)
+    scored = scenarios.train_scenarios(spark.read.parquet(path), key="key", iterations=20, depth=7, seed=1)
+    return scenarios.summarise(scored).select("scenario", "test_rows")
 
 
 @query
 def model_round_trip(spark, sf):
     rows = _training_rows(spark, sf)
     path = new_path(spark, "model")
-    sinks.save_model(_forest(rows), path)
-    predictions = learn.predict(sinks.load_model(path), rows.filter("is_validation"))
+    model, test = _forest(rows), rows.filter("is_validation")
+    sinks.save_model(model, path)
+    before = learn.predict(model, test).select("key", F.col("predicted_label").alias("before"))
+    after = learn.predict(sinks.load_model(path), test).select("key", "label", "features", "probability", "predicted_label")
     out = new_path(spark, "predictions")
-    sinks.write_predictions(predictions.select("label", "features", "probability", "predicted_label"), out, "csv")
-    return spark.read.csv(out, header=True)
+    sinks.write_predictions(after.join(before, "key"), out, "csv")
+    back = spark.read.csv(out, header=True)
+    return back.select("key", "label", (F.col("predicted_label") == F.col("before")).alias("same"))
+
+
+@query
+def select_model(spark, sf):
+    """The whole choice of a model: hold out, search, refit, report, save."""
+    rows = _training_rows(spark, sf).drop("is_validation")
+    chosen = selection.select_model(
+        rows, FOUR_BANDS, {"depth": [1, 7]}, "key", new_path(spark, "selection"), algorithm="forest", iterations=20, seed=1
+    )
+    best = metrics.best_candidate(chosen.candidates.drop("position")).select("params").scalar()
+    document = chosen.results.select(  # one row
+        F.size("precision").alias("n_classes"), F.aggregate("support", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("test_rows"),
+        F.col("feat_importance")[0]["band"].alias("first_band"),
+    )
+    return document.withColumn("best", best)
 
 
 # Tiles and their index.
@@ -583,6 +613,8 @@ def staged_resume(spark, sf):
     base = new_path(spark, "stages")
     source = fixtures.pixels(spark, sf)
     plan = stages.mosaic_stages(PIXEL_SIZE, PIXEL_SIZE, (4, 8))
-    stages.run_stages(source, plan[:2], base)
-    table, _ = stages.run_stages(source, plan, base)
+    stages.run_stages(source, plan[:3], base)
+    table, ran = stages.run_stages(source, plan, base)
+    if list(ran) != ["reprojected", "combined"]:
+        raise RuntimeError(f"a resumed job ran {list(ran)}")
     return table

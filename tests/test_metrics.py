@@ -31,6 +31,13 @@ def test_accuracy(pred):
     assert tuple(metrics.accuracy(pred).first()) == pytest.approx((8 / 12, 4 / 12))
 
 
+def test_a_null_is_never_right(spark):
+    df = spark.createDataFrame([("a", "a"), (None, None), ("a", None)], "label string, prediction string")
+    assert metrics.accuracy(df).first().accuracy == pytest.approx(1 / 3)
+    (a,) = metrics.precision_recall_fscore_support(df).collect()
+    assert (a.precision, a.recall, a.support) == (1.0, 0.5, 2)
+
+
 def test_scores_per_class_of_either_side(pred):
     got = metrics.precision_recall_fscore_support(pred).collect()
     assert [r["class"] for r in got] == ["a", "b", "c", "d"]
@@ -50,8 +57,11 @@ def test_confusion(pred):
     assert long == {("a", "a"): 5, ("a", "b"): 2, ("b", "b"): 3, ("c", "a"): 1, ("b", "d"): 1}
     wide = {r.label: r.asDict() for r in metrics.confusion_matrix(pred).collect()}
     assert wide["a"] == {"label": "a", "a": 5, "b": 2, "c": 0, "d": 0}
+    assert wide["d"] == {"label": "d", "a": 0, "b": 0, "c": 0, "d": 0}  # only ever predicted
+    with pytest.raises(Exception, match="prediction is not a listed class: d"):
+        metrics.confusion_matrix(pred, ["a", "b", "c"]).collect()
     for r in metrics.precision_recall_fscore_support(pred).collect():
-        row = wide.get(r["class"], {"label": ""})
+        row = wide[r["class"]]
         assert sum(v for k, v in row.items() if k != "label") == r.support
 
 
@@ -64,6 +74,7 @@ def test_ranking(spark):
     rows = [("x", 0.5), ("b", 0.9), ("a", 0.9), ("z", 0.0)]
     table = spark.createDataFrame(rows, "params string, mean_test_score double")
     assert [r.params for r in metrics.rank_candidates(table).collect()] == ["a", "b", "x", "z"]
+    assert [r.position for r in metrics.rank_candidates(table).collect()] == [1, 2, 3, 4]
     assert metrics.best_candidate(table).collect()[0].params == "a"
     bands = spark.createDataFrame(rows, "band string, importance double")
     kept = metrics.nonzero_importance(metrics.rank_importance(bands)).collect()

@@ -74,10 +74,45 @@ def test_projections_invert(spark):
     assert max(gap) < 1e-10  # under a millimetre
 
 
-def test_unknown_systems_reproject_to_null(spark):
-    df = spark.createDataFrame([("EPSG3857",), ("EPSG32661",), ("unknown",), ("EPSG32631",)], "zone string")
-    got = raster.reproject(df.withColumns({"x": F.lit(500000.0), "y": F.lit(5e6)}))
-    assert [r.tx is None for r in got.collect()] == [True, True, True, False]
+def test_systems_besides_utm_on_wgs84(spark):
+    zones = ["unknown", None, "EPSG32631", "EPSG25831", "EPSG3035"]
+    df = spark.createDataFrame([(z,) for z in zones], "zone string").withColumns({"x": F.lit(500000.0), "y": F.lit(5e6)})
+    got = raster.reproject(df).collect()
+    assert [r.tx is None for r in got] == [True, True, False, False, False]
+    # The two ellipsoids differ by less than a millimetre; the target system stays as it is.
+    assert abs(got[2].tx - got[3].tx) < 1e-3 and abs(got[2].ty - got[3].ty) < 1e-3
+    assert (got[4].tx, got[4].ty) == (500000.0, 5e6)
+
+
+@pytest.mark.parametrize("zone", ["EPSG3857", "EPSG32661", "EPSG25839"])
+def test_a_system_without_a_way_stops_the_job(spark, zone):
+    df = spark.createDataFrame([(zone, 1, 1, 1.0)], "zone string, px long, py long, value double")
+    with pytest.raises(Exception, match="no way from this coordinate system"):
+        raster.warp_zones(df, 10.0, 10.0).collect()
+    points = df.select("zone", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    with pytest.raises(Exception, match="no way from this coordinate system"):
+        raster.reproject(points).collect()
+
+
+def test_ties_go_by_the_whole_cell_number(spark):
+    rows = [("EPSG32631", 4096, 1, 6.0, 60.0, 50.0), ("EPSG32631", 4095, 1, 5.0, 40.0, 50.0)]
+    schema = "zone string, px long, py long, value double, tx double, ty double"
+    got = raster.regrid_nearest(spark.createDataFrame(rows, schema), 100.0).collect()
+    assert [r.value for r in got] == [5.0]
+
+
+@pytest.mark.parametrize("levels", [(0,), (4, -1), ()])
+def test_levels_below_one_are_an_error(spark, levels):
+    with pytest.raises(ValueError, match="levels from 1 on"):
+        raster.overview_pyramid(spark.createDataFrame([(0, 0, 1.0)], "px long, py long, value double"), levels)
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 8])
+def test_means_of_whole_values_are_exact(spark, partitions):
+    cells = [(i, 0, v) for i, v in enumerate((177829, 1, 2**40, 7))]
+    df = spark.createDataFrame(cells, "px long, py long, value long").repartition(partitions)
+    (row,) = raster.overview_pyramid(df, (4,), "average").collect()
+    assert row.value == (177829 + 1 + 2**40 + 7) / 4
 
 
 def test_a_filter_on_projected_coordinates_stays_above_the_formula(spark):

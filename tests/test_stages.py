@@ -28,46 +28,64 @@ def rows(df):
     return sorted(map(tuple, df.select("level", "bx", "by", "value").collect()))
 
 
-def only_run(base):
-    (run,) = os.listdir(base)
-    return os.path.join(base, run)
+def folder(base, stage):
+    (found,) = [f for f in os.listdir(base) if f.startswith(f"{stage}-") and not f.endswith(".parts")]
+    return os.path.join(base, found)
 
 
-ALL = ["zones", "zone_mosaics", "reprojected", "combined"]
+ALL = ["index", "zones", "zone_mosaics", "reprojected", "combined"]
+ZONES = ["EPSG32630", "EPSG32631", "EPSG32632"]
 
 
 def test_resume_starts_where_tables_are_whole(source, tmp_path):
     base = str(tmp_path)
     table, ran = stages.run_stages(source, plan(), base)
     expected = rows(table)
-    assert ran == ALL and expected
-    assert stages.run_stages(source, plan(), base)[1] == []
-    run = only_run(base)
-    shutil.rmtree(f"{run}/combined")
+    assert list(ran) == ALL and ran["zones"] == ZONES and expected
+    assert stages.run_stages(source, plan(), base)[1] == {}
+    shutil.rmtree(folder(base, "combined"))
     table, ran = stages.run_stages(source, plan(), base)
-    assert ran == ["combined"] and rows(table) == expected
+    assert ran == {"combined": []} and rows(table) == expected
     # A finished last stage is enough, whatever became of the others.
-    shutil.rmtree(f"{run}/zone_mosaics")
-    assert stages.run_stages(source, plan(), base)[1] == []
-    # A zone lost from a stage makes that stage run again, from what it reads.
-    shutil.rmtree(f"{run}/combined")
-    shutil.rmtree(f"{run}/reprojected/zone=EPSG32631")
+    shutil.rmtree(folder(base, "zone_mosaics"))
+    assert stages.run_stages(source, plan(), base)[1] == {}
+
+
+def test_a_lost_zone_alone_is_made_again(source, tmp_path):
+    base = str(tmp_path)
+    expected = rows(stages.run_stages(source, plan(), base)[0])
+    kept = {f: os.path.getmtime(f"{folder(base, 'reprojected')}/{f}") for f in ("zone=EPSG32630", "zone=EPSG32632")}
+    shutil.rmtree(folder(base, "combined"))
+    shutil.rmtree(f"{folder(base, 'reprojected')}/zone=EPSG32631")
+    table, ran = stages.run_stages(source, plan(), base)
+    assert ran == {"reprojected": ["EPSG32631"], "combined": []} and rows(table) == expected
+    assert kept == {f: os.path.getmtime(f"{folder(base, 'reprojected')}/{f}") for f in kept}
+    # Lost in an earlier stage too, it is made from the furthest table that has it.
+    for stage in ("combined", "reprojected/zone=EPSG32631", "zone_mosaics/zone=EPSG32631"):
+        name, _, part = stage.partition("/")
+        shutil.rmtree(os.path.join(folder(base, name), part))
     table, ran = stages.run_stages(source, plan(), base)
-    assert ran == ["zone_mosaics", "reprojected", "combined"] and rows(table) == expected
+    assert ran == {"zone_mosaics": ["EPSG32631"], "reprojected": ["EPSG32631"], "combined": []} and rows(table) == expected
+
+
+def test_overwrite_makes_a_stage_anew(source, tmp_path):
+    base = str(tmp_path)
+    expected = rows(stages.run_stages(source, plan(), base)[0])
+    table, ran = stages.run_stages(source, plan(), base, overwrite=["reprojected", "combined"])
+    assert ran == {"reprojected": ZONES, "combined": []} and rows(table) == expected
 
 
-def test_damaged_tables_are_not_complete(source, spark, tmp_path):
+def test_damaged_tables_are_not_complete(source, tmp_path):
     base = str(tmp_path)
     expected = rows(stages.run_stages(source, plan(), base)[0])
-    run = only_run(base)
-    part = next(f for f in os.listdir(f"{run}/combined") if f.endswith(".parquet"))
-    with open(f"{run}/combined/{part}", "r+b") as f:
+    level = os.path.join(folder(base, "combined"), "level=4")
+    part = next(f for f in os.listdir(level) if f.endswith(".parquet"))
+    with open(f"{level}/{part}", "r+b") as f:
         f.truncate(10)
-    assert not stages.is_complete(spark, run, plan()[-1])
-    table, ran = stages.run_stages(source, plan(), base)
-    assert ran == ["combined"] and rows(table) == expected
-    os.remove(f"{run}/combined/_SUCCESS")
-    assert stages.run_stages(source, plan(), base)[1] == ["combined"]
+    os.remove(f"{level}/.{part}.crc")
+    damaged = stages.run_stages(source, plan(), base)
+    # The table is made as a whole, so all of it is made again when any part is damaged.
+    assert damaged[1] == {"combined": []} and rows(damaged[0]) == expected
 
 
 def test_other_tiles_or_settings_start_anew(source, tmp_path):
@@ -75,22 +93,35 @@ def test_other_tiles_or_settings_start_anew(source, tmp_path):
     first = rows(stages.run_stages(source, plan(), base)[0])
     changed = source.withColumn("value", F.when(F.col("seq") == 7, 99.0).otherwise(F.col("value")))
     table, ran = stages.run_stages(changed, plan(), base)
-    assert ran == ALL and rows(table) != first
-    assert stages.run_stages(source, plan(), base, settings=["fine"])[1] == ALL
-    assert stages.run_stages(source.repartition(5), plan(), base)[1] == []
+    assert list(ran) == ALL and rows(table) != first
+    assert stages.run_stages(source.repartition(5), plan(), base)[1] == {}
+    # Other levels change the last table only, another resolution the reprojected one too.
+    table, ran = stages.run_stages(source, stages.mosaic_stages(10_000, 10_000, (2,)), base)
+    assert ran == {"combined": []} and {r[0] for r in rows(table)} == {1, 2}
+    table, ran = stages.run_stages(source, stages.mosaic_stages(10_000, 20_000, (4, 8)), base)
+    assert list(ran) == ["reprojected", "combined"] and len(rows(table)) < len(first)
+    assert rows(stages.run_stages(source, plan(), base)[0]) == first
 
 
-def test_fingerprint_sees_copies_and_not_the_order(source):
+def test_fingerprint_sees_copies_and_not_the_order(source, spark, tmp_path):
     assert stages.fingerprint(source) == stages.fingerprint(source.orderBy(F.desc("seq")))
     assert stages.fingerprint(source) != stages.fingerprint(source.unionByName(source.filter("seq < 2")))
     assert stages.fingerprint(source) != stages.fingerprint(source.withColumnRenamed("value", "v"))
+    # Files are known by name, size and time: no job runs.
+    path = str(tmp_path / "pixels")
+    source.write.parquet(path)
+    before = stages.fingerprint(spark.read.parquet(path))
+    assert before == stages.fingerprint(spark.read.parquet(path))
+    assert before != stages.fingerprint(spark.read.parquet(path).filter("seq > 3"))
+    source.limit(5).write.mode("append").parquet(path)
+    assert before != stages.fingerprint(spark.read.parquet(path))
 
 
-def test_clean_keeps_the_result_only(source, tmp_path):
+def test_clean_keeps_the_index_and_the_result(source, tmp_path):
     table, _ = stages.run_stages(source, plan(), str(tmp_path), clean=True)
-    assert sorted(os.listdir(only_run(str(tmp_path)))) == ["combined", "combined.parts"]
+    assert {f.split("-")[0] for f in os.listdir(tmp_path)} == {"index", "combined"}
     assert rows(table)
-    assert stages.run_stages(source, plan(), str(tmp_path))[1] == []
+    assert stages.run_stages(source, plan(), str(tmp_path))[1] == {}
 
 
 def test_an_empty_stage_is_an_error(source, tmp_path):
@@ -98,6 +129,18 @@ def test_an_empty_stage_is_an_error(source, tmp_path):
         stages.run_stages(source.withColumn("srs", F.lit("")), plan(), str(tmp_path))
 
 
+def test_index_from_listed_tiles_and_publishing(source, spark, tmp_path):
+    tiles = source.select("seq", F.concat(F.lit("t"), "seq").alias("url"), "srs", *(F.lit(0.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    links = tiles.filter("srs <> 'EPSG: 32632'").select("url")
+    given = {"source": source, "tiles": tiles, "links": links}
+    shared = str(tmp_path / "shared")
+    table, ran = stages.run_stages(given, plan(), str(tmp_path / "run"), publish=shared)
+    assert ran["zone_mosaics"] == ["EPSG32630", "EPSG32631"]
+    published = spark.read.parquet(f"{shared}/zone_mosaics")
+    assert {r.zone for r in published.select("zone").distinct().collect()} == {"EPSG32630", "EPSG32631"}
+    assert rows(spark.read.parquet(f"{shared}/combined")) == rows(table)
+
+
 def test_publishing_replaces_only_delivered_zones(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.range(100).select(F.concat(F.lit("z"), (F.col("id") % 4).cast("string")).alias("zone"), "id")
