@@ -31,6 +31,9 @@ def local_session(cores: int | str = 8, app: str = "fieldmosaic", **conf: str) -
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the wide sample tables need; all may change at run time.
 
+    They stay set for the session: call this once, where the session is made. Registered
+    queries call it because they are handed sessions of others.
+
     Generated methods above 8000 bytes are never compiled by the JVM's JIT. With
     120 bands the fused loops pass that mark and would run interpreted, about ten
     times slower; at this limit Spark falls back to split-up generated code.
@@ -65,16 +68,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Mark a side for broadcast only after its rows were counted to be few.
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000, max_bytes: int = 8 << 20) -> DataFrame:
+    """Mark a side for broadcast only after its rows were counted and measured to be few.
 
-    At most ``max_rows + 1`` rows are fetched. When they all fit, the fetched
-    rows replace the plan, so the side is computed once and its size is known.
+    At most ``max_rows + 1`` rows are fetched, by a job that runs while the plan is built.
+    When they all fit, in number and bytes, the fetched rows replace the plan, so the side
+    is computed once and its size is known.
     Otherwise ``df`` is returned as it was and the join shuffles, with hot keys
     split by adaptive execution.
     """
     spark = df.sparkSession
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > max_bytes:
         return df
     return F.broadcast(spark.createDataFrame(pa.table(head), schema=df.schema))

@@ -46,15 +46,23 @@ def test_totals_need_no_join_and_one_pass(counted):
 
 @pytest.mark.parametrize("max_classes", [100, 2])
 def test_attached_weights_keep_every_row(spark, counted, max_classes):
-    table = weights.balanced_class_weights(counted).filter("label <> '8100'")
+    table = weights.balanced_class_weights(counted)
     got = weights.attach_weights(counted, table, max_classes=max_classes)
     assert got.columns == ["label", "row", "weight"]
     totals = {r.label: (r.n, r.w) for r in got.groupBy("label").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect()}
-    assert totals["8100"] == (794, None)
+    assert totals["8100"][0] == 794
     assert totals["0"] == (7429, pytest.approx(EXPECTED[0]))
     assert ("BroadcastHashJoin" in plan_of(got)) == (max_classes == 100)
 
 
+def test_a_label_without_a_weight_stops_the_job(spark, counted):
+    table = weights.balanced_class_weights(counted)
+    with pytest.raises(Exception, match="no weight for label 8100"):
+        weights.attach_weights(counted, table.filter("label <> '8100'")).collect()
+    with pytest.raises(Exception, match="no weight for label null"):
+        weights.attach_weights(counted.withColumn("label", F.lit(None).cast("string")), table).collect()
+
+
 def test_class_counts_leave_out_missing(spark):
     df = spark.createDataFrame([(1, 2.0, None), (1, None, None), (2, 1.0, 1.0), (None, 1.0, 1.0)], "id int, a double, b double")
     assert sorted(map(tuple, weights.class_counts(df).collect())) == [(1, 1, 0), (2, 1, 1)]
