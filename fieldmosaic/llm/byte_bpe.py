@@ -4,13 +4,13 @@ Each task cuts its texts into pre-tokens by the pattern and has a DuckDB connect
 own worker, in memory and with one thread, encode the distinct ones in blocks. A word is
 rows of (word, position, token), its bytes at first. Each step of the recursion joins
 neighbouring tokens with the merge table and contracts every word's leftmost pair of least
-rank: the pair's place takes the merged token and the next place is struck out. Words
-without a pair leave the recursion. A word that is a token itself is that token, as the
+rank: the pair's place takes the merged token and the next place is left out. Words without
+a pair leave the recursion; the rows of a word's last step are its tokens. A word that is a token itself is that token, as the
 library has it. Decoding joins ids with the tokens' bytes and strings them together in
 order.
 
-One step contracts one pair of a word, so a word of n bytes takes up to n steps over n
-rows. Words over ``LONG`` bytes, rare in any language, are contracted by a heap of pairs
+One step contracts one pair of a word, so a word of n bytes takes up to n steps of up to n
+rows, which a recursion keeps. Words over ``LONG`` bytes, rare in any language, are contracted by a heap of pairs
 instead, in the same order.
 
 A null text is an empty one and has no ids. Every row stands for itself, so ties and
@@ -32,26 +32,24 @@ from pyspark.sql import functions as F
 from fieldmosaic.llm.common import batch_of, int_lists, text_slices, whole_text
 from fieldmosaic.llm.tokens import RunTable
 
-LONG = 512
+LONG = 100
 #: Bytes of words that one recursive query encodes.
 BLOCK = 150_000
 
 ENCODE = """
-WITH RECURSIVE token(word, place, id) USING KEY (word, place) AS (
-  SELECT word, place, id FROM bytes
-  UNION
-  (WITH standing AS (
-     SELECT a.word, a.place, a.id FROM recurring.token a
-     WHERE a.id >= 0 AND a.word IN (SELECT DISTINCT word FROM token)),
-   pair AS (
-     SELECT word, place, id, lead(id) OVER w AS right_id, lead(place) OVER w AS right_place FROM standing
+WITH RECURSIVE token(word, place, id, step) AS (
+  SELECT word, place, id, 0 FROM bytes
+  UNION ALL
+  (WITH pair AS (
+     SELECT word, place, id, lead(id) OVER w AS right_id, lead(place) OVER w AS right_place FROM token
      WINDOW w AS (PARTITION BY word ORDER BY place)),
    least AS (
      SELECT p.word, min((m.rank << 32) | p.place) AS best, arg_min(p.right_place, (m.rank << 32) | p.place) AS right_place
      FROM pair p JOIN merge m ON m.left_id = p.id AND m.right_id = p.right_id GROUP BY p.word)
-   SELECT word, (best & 4294967295)::INTEGER, (best >> 32)::INTEGER FROM least
-   UNION ALL SELECT word, right_place, -1 FROM least))
-SELECT word, list(id ORDER BY place) AS ids FROM token WHERE id >= 0 GROUP BY word
+   SELECT t.word, t.place, CASE WHEN t.place = (best & 4294967295) THEN (best >> 32)::INTEGER ELSE t.id END, t.step + 1
+   FROM token t JOIN least USING (word) WHERE t.place <> least.right_place)),
+last AS (SELECT word, max(step) AS step FROM token GROUP BY word)
+SELECT word, list(id ORDER BY place) AS ids FROM token JOIN last USING (word, step) GROUP BY word
 """
 DECODE = """
 SELECT word, string_agg(t.bytes, '' ORDER BY place) AS bytes
@@ -68,7 +66,7 @@ class BpeTable(RunTable):
         import regex
 
         self.decoded: list[bytes] = []
-        super().__init__(limit=400_000)
+        super().__init__(limit=1_000_000)
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)

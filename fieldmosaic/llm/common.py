@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared folder and read again, so that neither a
     later action nor a lost executor computes it anew."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

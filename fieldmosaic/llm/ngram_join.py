@@ -7,11 +7,14 @@ class and count once. Two classes link when ``100 * common >= 80 * union``; then
 frequent tokens last, by a sketch of token counts over the corpus.
 
 * Tokens that come first in two or more classes are live; all others lead nowhere.
-* Similar classes form groups: a token's leader is the least class that has it, and a class
-  joins the least leader of its live tokens. Large groups are split into blocks of at most
-  about ``BLOCK_SETS`` sets and ``BLOCK_TOKENS`` tokens.
-* The matrix has a row for each live token and block. Joining a class's live tokens with it
-  gives the blocks where the class may have a link.
+* Similar classes of about one size form groups: a token's leader is the least class that
+  has it, and a class joins the leader of most of its live tokens. Large groups are split
+  into blocks of at most about ``BLOCK_SETS`` sets and ``BLOCK_TOKENS`` tokens.
+* The matrix has a row for each live token and block, with the sizes of the sets that have
+  the token. Joining a class's live tokens with it counts what the class has in common with
+  each block. Two sets have at most as many tokens in common as their first tokens have,
+  and all later tokens of the one whose first tokens end earlier; so a block is a candidate
+  only if the count makes up for the rest, for the sizes in the block.
 * A block's task holds the union of its members' tokens. A class with fewer than 80 % of its
   tokens in the union is turned away; for others the block is opened and exact overlaps with
   all members are counted at once. Links that tell nothing new inside a block (both ends are
@@ -25,11 +28,13 @@ one ``doc_id`` are one document, also with different texts. Extra columns are le
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmosaic.llm.common import batch_of, offsets_of, ragged, text_slices, whole_text, written
@@ -66,7 +71,7 @@ class Shingler:
             self.known.clear()
         words = [t.encode().lower().split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        hashes = np.fromiter((h for w in words for h in map(self.known.__getitem__, w)), np.uint64, int(sizes.sum()))
+        hashes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
         ends = offsets_of(sizes)
         total = np.zeros(len(hashes), np.uint64)
         for k, odd in enumerate(_ODD):
@@ -107,7 +112,7 @@ def _sums(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("cell", pa.int32()), ("count", pa.int64())]
 )
-_PREFIX = pa.schema([("s1", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("s1", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -145,7 +150,7 @@ def _levels(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``s1``, ``tokens``: the first tokens of each set, rare ones before frequent ones."""
+    """``s1``, ``n``, ``tokens``: the first tokens of each set, rare ones before frequent ones."""
     at = np.flatnonzero(levels)
     sparse = at.astype(np.int32), levels[at]
 
@@ -160,36 +165,61 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             wanted = np.where(n > 0, n - (n * SHARE + 99) // 100 + 1, 0)
             kept = ragged(tokens[order], bounds[:-1], wanted).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets_of(wanted).astype(np.int32)), pa.array(kept))
-            yield batch_of(_PREFIX, [_sums(tokens, bounds)[0], lists])
+            yield batch_of(_PREFIX, [_sums(tokens, bounds)[0], n, lists])
 
-    return _texts(docs).mapInArrow(run, "s1 bigint, tokens array<bigint>")
+    return _texts(docs).mapInArrow(run, "s1 bigint, n bigint, tokens array<bigint>")
 
 
 def live_tokens(prefix: DataFrame) -> DataFrame:
-    """``token``, ``s1``, ``leader``: tokens that come first in two or more classes."""
-    rows = prefix.select("s1", F.explode("tokens").alias("token"))
+    """``token``, ``s1``, ``n``, ``leader``: tokens that come first in two or more classes."""
+    rows = prefix.select("s1", "n", F.explode("tokens").alias("token"))
     shared = rows.groupBy("token").agg(F.min("s1").alias("leader"), F.max("s1").alias("last")).where("leader < last").drop("last")
-    return rows.join(shared, "token").select("token", "s1", "leader").distinct()
+    return rows.join(shared, "token").select("token", "s1", "n", "leader").distinct()
 
 
-def blocks(live: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``s1``, ``block``: each class in one block of similar ones. ``sizes``: ``s1``, ``n``."""
-    grouped = live.groupBy("s1").agg(F.min("leader").alias("leader")).join(sizes, "s1")
-    parts = grouped.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts")
+def blocks(live: DataFrame) -> DataFrame:
+    """``s1``, ``n``, ``block``: each class in one block of similar ones."""
+    votes = live.groupBy("s1", "n", "leader").agg(F.count("*").alias("votes"))
+    led = votes.groupBy("s1", "n").agg(F.max(F.struct("votes", "leader")).alias("v")).select(
+        "s1", "n", F.xxhash64("v.leader", F.floor(F.log("n") / F.log(F.lit(1.12)))).alias("group")
     )
-    return grouped.join(parts, "leader").select(
-        "s1", F.xxhash64("leader", F.pmod(F.xxhash64("s1"), "parts")).alias("block")
+    parts = led.groupBy("group").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts")
     )
+    return led.join(parts, "group").select("s1", "n", F.xxhash64("group", F.pmod(F.xxhash64("s1"), "parts")).alias("block"))
+
+
+def _needed(n: Column, low: Column, high: Column) -> Column:
+    """Common first tokens that a set of ``n`` needs with one of ``low`` to ``high`` tokens:
+    the overlap that a link asks for, less the later tokens of either set. It is least at an
+    end of the range; one less for rounding."""
+
+    def of(s: Column) -> Column:
+        overlap = F.floor((4 * (n + s) + 8) / 9)
+        return overlap - F.greatest(F.floor((4 * n + 4) / 5), F.floor((4 * s + 4) / 5)) + 1
+
+    ends = F.greatest(low, F.ceil(n * 4 / 5)), F.least(high, F.floor(n * 5 / 4))
+    return F.greatest(F.lit(1), F.least(*map(of, ends)) - 1)
 
 
 def candidates(live: DataFrame, block_of: DataFrame) -> DataFrame:
-    """``s1``, ``block``, ``member``: classes to look up in blocks, their own one included,
-    where they are members. Of two blocks the lesser number looks up in the other."""
+    """``s1``, ``block``, ``member``: the blocks to open with all their members, and the
+    classes of other blocks to look up in them. Of two blocks the lesser number looks up in
+    the other; looking up in the own block takes another member with the token."""
     placed = live.select("token", "s1").join(block_of, "s1")
-    matrix = placed.select("token", F.col("block").alias("other")).distinct()
-    asked = placed.join(matrix, "token").where("block < other").select("s1", F.col("other").alias("block")).distinct()
-    return block_of.withColumn("member", F.lit(True)).union(asked.withColumn("member", F.lit(False)))
+    matrix = placed.groupBy("token", F.col("block").alias("other")).agg(
+        F.count("*").alias("holders"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    near = (5 * F.col("high") >= 4 * F.col("n")) & (4 * F.col("low") <= 5 * F.col("n"))
+    order = (F.col("block") < F.col("other")) | ((F.col("block") == F.col("other")) & (F.col("holders") > 1))
+    counted = placed.join(matrix, "token").where(near & order).groupBy("s1", "n", "block", "other").agg(
+        F.count("*").alias("common"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    asked = written(counted.where(F.col("common") >= _needed(F.col("n"), F.col("low"), F.col("high"))).select("s1", "block", "other"), "asked")
+    opened = asked.select(F.col("other").alias("block")).distinct()
+    members = block_of.join(opened, "block").select("s1", "block", F.lit(True).alias("member"))
+    guests = asked.where("block <> other").select("s1", F.col("other").alias("block"), F.lit(False).alias("member"))
+    return members.union(guests)
 
 
 class Block:
@@ -239,35 +269,43 @@ def _verified(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         shingler, unpack = Shingler(), zstandard.ZstdDecompressor()
-        block, now, waiting = None, None, ([], [])
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:4]]
-            for i, (number, member, doc, s1) in enumerate(zip(*columns, strict=True)):
-                tokens, bounds = shingler.sets([unpack.decompress(batch.column(4)[i].as_py()).decode()])
-                if _sums(tokens, bounds)[0, 0] != s1:
-                    continue  # another text of the same document id
-                if number != now:
-                    if waiting[0]:
-                        block = Block(*waiting)
-                    if block:
-                        yield _links(block.links)
-                    now, block, waiting = number, None, ([], [])
-                if member:
-                    waiting[0].append(doc)
-                    waiting[1].append(tokens)
-                    continue
-                if waiting[0]:
-                    block, waiting = Block(*waiting), ([], [])
+        now, block, ids, sets = None, None, [], []
+        for number, member, doc, tokens in _unpacked(batches, shingler, unpack):
+            if number != now:
+                if ids:
+                    block = Block(ids, sets)
                 if block:
-                    block.ask(None, doc, tokens)
-        if waiting[0]:
-            block = Block(*waiting)
+                    yield _links(block.links)
+                now, block, ids, sets = number, None, [], []
+            if member:
+                ids.append(doc)
+                sets.append(tokens)
+                continue
+            if ids:
+                block, ids, sets = Block(ids, sets), [], []
+            if block:
+                block.ask(None, doc, tokens)
+        if ids:
+            block = Block(ids, sets)
         if block:
             yield _links(block.links)
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _unpacked(batches, shingler: Shingler, unpack):
+    """Rows with their sets; other texts of a document id than the class's are passed over."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 64):
+            part = batch.slice(low, 64)
+            numbers, members, docs, names, packed = (c.to_pylist() for c in part.columns)
+            tokens, bounds = shingler.sets([unpack.decompress(p).decode() for p in packed])
+            found = _sums(tokens, bounds)[0].tolist()
+            for i, name in enumerate(names):
+                if found[i] == name:
+                    yield numbers[i], members[i], docs[i], tokens[bounds[i] : bounds[i + 1]]
+
+
 def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return batch_of(_LINK, [[a for a, _ in links], [b for _, b in links]])
 
@@ -290,7 +328,7 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = sets.where("cell IS NULL AND doc_id IS NOT NULL AND n > 0")
     classes = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     live = written(live_tokens(written(prefixes(docs, _levels(sets)), "prefixes")), "live")
-    block_of = written(blocks(live, classes.groupBy("s1").agg(F.max("n").alias("n"))), "blocks")
+    block_of = written(blocks(live), "blocks")
     asked = candidates(live, block_of).join(classes.select("s1", F.col("rep").alias("doc_id")), "s1")
     shipped = _packed(docs).join(asked, "doc_id").select("block", "member", "doc_id", "s1", "packed")
     found = _verified(shipped.repartition("block").sortWithinPartitions("block", F.desc("member"), "doc_id"))

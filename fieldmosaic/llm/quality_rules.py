@@ -18,6 +18,7 @@ columns pass through.
 from __future__ import annotations
 
 import dataclasses
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,26 +78,33 @@ def repeat_words(listed: Column) -> Column:
         )
         return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (WINDOW - 1))))))
 
-    def windows(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(h) - WINDOW)
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    def joined(a: Column, step: int) -> Column:
+        """Each element hashed with the one ``step`` places on."""
+        return let(
+            a, lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) - step), F.slice(x, step + 1, F.size(x)), lambda p, q: F.xxhash64(p, q))
+        )
 
     return F.when(
         F.size(listed) > WINDOW,
         let(
-            let(F.transform(listed, lambda w: F.xxhash64(w)), windows),
+            joined(joined(joined(listed, 1), 2), 4),  # two, four, eight words
             lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), marked(hashes)).otherwise(0),
         ),
     ).otherwise(0)
 
 
-def base_columns(listed: Column, text: Column) -> dict[str, Column]:
-    """The counts; ``listed`` are the words of ``text``, which isn't null."""
+def rest_of(text: Column) -> Column:
+    """A text without lower-case letters and white space: what is left to count by class."""
+    return F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
+
+
+def base_columns(listed: Column, text: Column, rest: Column) -> dict[str, Column]:
+    """The counts; ``listed`` are the words of ``text``, which isn't null, ``rest`` its rest."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(_VOID))
     columns = {
         "n_words": F.size(listed),
         "word_chars": F.length(F.array_join(listed, "")),
-        "n_symbols": _without(text, r"[#*$%&|<>]+"),
+        "n_symbols": _without(rest, r"[#*$%&|<>]+"),
         "n_dup_lines": let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))),
         "n_repeat_words": repeat_words(listed),
     }
@@ -107,25 +115,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def class_counts(text: Column) -> Column:
-    """Characters by class. Lower-case letters and white space go first, so that the other
-    classes are counted over what is left."""
-    return let(
-        F.struct(text.alias("t"), F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "").alias("rest")),
-        lambda x: let(
-            _without(x.rest, "[A-Z]+"),
-            lambda upper: F.array(
-                F.length(x.t) - F.length(x.rest) - _without(x.t, r"[\x20\x09-\x0D]+"),
-                upper,
-                _without(x.t, r"[\x20\x09-\x0D]+"),
-                _without(x.rest, "[0-9]+"),
-                _without(x.rest, r"[#*$%&|<>!]+"),
-                _without(x.rest, "[.,]+"),
-                _without(x.rest, r"[\x00-\x7F&&[^A-Z0-9#*$%&|<>!.,]]+"),
-                _without(x.rest, r"[^\x00-\x7F]+"),
-            ),
-        ),
-    )
+def class_counts(text: Column, rest: Column, word_chars: Column) -> Column:
+    """Characters by class."""
+    return F.array(
+        word_chars - F.length(rest),
+        _without(rest, "[A-Z]+"),
+        F.length(text) - word_chars,
+        _without(rest, "[0-9]+"),
+        _without(rest, r"[#*$%&|<>!]+"),
+        _without(rest, "[.,]+"),
+        _without(rest, r"[\x00-\x7F&&[^A-Z0-9#*$%&|<>!.,]]+"),
+        _without(rest, r"[^\x00-\x7F]+"),
+    ).cast("array<int>")
 
 
 def common_counts(listed: Column, common: tuple[str, ...]) -> Column:
@@ -138,7 +139,7 @@ def common_counts(listed: Column, common: tuple[str, ...]) -> Column:
             joined,
             lambda s: F.array(
                 *[
-                    ((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
+                    ((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("int")
                     for w in common
                 ],
                 F.size(listed) - F.size(picked),
@@ -153,8 +154,8 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> lis
     ``LANGUAGES * COMMON``."""
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("of"), F.col(text).alias("t"))
     largest = known.groupBy("of").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "of").limit(LANGUAGES).select("of")
-    listed = let(words(F.col("t")), lambda a: F.filter(a, lambda w: w.rlike(rf"^\pL{{1,{COMMON_LETTERS}}}$")))
-    counted = known.select("of", F.explode(listed).alias("w")).groupBy("of", "w").agg(F.count("*").alias("n"))
+    listed = known.select("of", F.explode(words(F.col("t"))).alias("w")).where(F.length("w") <= COMMON_LETTERS)
+    counted = listed.groupBy("of", "w").agg(F.count("*").alias("n")).where(F.col("w").rlike(r"^\pL+$"))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "w"))
     best = counted.join(F.broadcast(largest), "of").withColumn("k", rank).where(F.col("k") <= COMMON)
     return sorted({r["w"] for r in best.select("w").collect()})  # at most LANGUAGES * COMMON rows
@@ -163,9 +164,11 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> lis
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
     common = tuple(common_words(docs, text, lang))
     plain = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.where(F.col(lang).isNotNull()).select(
-        F.col(lang).alias("of"), class_counts(plain).alias("c"), common_counts(words(plain), common).alias("w")
+    parts = docs.where(F.col(lang).isNotNull()).select(
+        F.col(lang).alias("of"), plain.alias("t"), words(plain).alias("l"), rest_of(plain).alias("r")
     )
+    word_chars = F.length(F.array_join("l", ""))
+    rows = parts.select("of", class_counts(F.col("t"), F.col("r"), word_chars).alias("c"), common_counts(F.col("l"), common).alias("w"))
     sums = [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(len(common) + 1)]
     found = rows.groupBy("of").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "of").limit(LANGUAGES).collect()
@@ -179,26 +182,30 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
     return References(common, tuple(c for c in classes if c), tuple(w for w in listed if w))
 
 
-def _terms(shares: Column) -> Column:
-    """Sum of p * log2 p."""
-    return F.aggregate(shares, F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
-
-
 def distance(counts: Column, shares: tuple[tuple[float, ...], ...]) -> Column:
-    """The least Jensen-Shannon distance of a histogram to any of ``shares``; 0 without one."""
+    """The least Jensen-Shannon distance of a histogram to any of ``shares``; 0 without one.
+    With m the mean of p and q it is the root of sum(p log p) / 2 + sum(q log q) / 2 -
+    sum(m log m), in bits."""
     if not shares:
         return F.lit(0.0)
 
-    def to(p: Column, p_terms: Column, q: tuple[float, ...]) -> Column:
-        fixed = F.array(*[F.lit(x) for x in q])
-        middle = F.zip_with(p, fixed, lambda a, b: (a + b) / 2)
-        divergence = (p_terms + _terms(fixed)) / 2 - _terms(middle)
-        return F.sqrt(F.greatest(divergence, F.lit(0.0)))
+    def total(terms: Column) -> Column:
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+    def term(x: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+
+    def middle(p: Column, q: tuple[float, ...]) -> Column:
+        return total(F.zip_with(p, F.array(*[F.lit(x) for x in q]), lambda a, b: term((a + b) / 2)))
 
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
+    def least(p: Column) -> Column:
+        fixed = [sum(x * math.log2(x) for x in q if x > 0) / 2 for q in shares]
+        return F.array_min(F.array(*[F.lit(f) - middle(p, q) for f, q in zip(fixed, shares, strict=True)]))
+
+    n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
     return let(
-        let(total, lambda n: F.transform(counts, lambda c: c / F.greatest(n, F.lit(1)))),
-        lambda p: let(_terms(p), lambda terms: F.array_min(F.array(*[to(p, terms, q) for q in shares]))),
+        let(F.struct(counts.alias("c"), F.greatest(n, F.lit(1)).alias("n")), lambda x: F.transform(x.c, lambda c: c / x.n)),
+        lambda p: F.sqrt(F.greatest(total(F.transform(p, term)) / 2 + least(p), F.lit(0.0))),
     )
 
 
@@ -207,12 +214,12 @@ def judge(docs: DataFrame, refs: References, limits: Limits = Limits(), text: st
     ``base_failed`` and ``kept``. Columns of these names are replaced."""
     added = (*BASE, "class_distance", "common_distance", "base_failed", "kept")
     plain = F.coalesce(F.col(text), F.lit(""))
-    listed = docs.select(*[c for c in docs.columns if c not in added], words(plain).alias("_words"))
-    out = listed.select("*", *[c.alias(k) for k, c in base_columns(F.col("_words"), plain).items()])
+    listed = docs.select(*[c for c in docs.columns if c not in added], words(plain).alias("_words"), rest_of(plain).alias("_rest"))
+    out = listed.select("*", *[c.alias(k) for k, c in base_columns(F.col("_words"), plain, F.col("_rest")).items()])
     out = out.withColumn("base_failed", base_failed()).withColumns(
         {
             "class_distance": F.when(
-                ~F.col("base_failed") & (F.col("n_words") >= limits.class_words), distance(class_counts(plain), refs.classes)
+                ~F.col("base_failed") & (F.col("n_words") >= limits.class_words), distance(class_counts(plain, F.col("_rest"), F.col("word_chars")), refs.classes)
             ),
             "common_distance": F.when(
                 ~F.col("base_failed") & (F.col("n_words") >= limits.common_words),
@@ -223,9 +230,66 @@ def judge(docs: DataFrame, refs: References, limits: Limits = Limits(), text: st
     near = (F.coalesce("class_distance", F.lit(0.0)) <= limits.classes) & (
         F.coalesce("common_distance", F.lit(0.0)) <= limits.common
     )
-    return out.withColumn("kept", ~F.col("base_failed") & near).drop("_words")
+    return out.withColumn("kept", ~F.col("base_failed") & near).drop("_words", "_rest")
 
 
 def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """References from ``docs`` (``text``, ``lang``) and the verdict on each row."""
     return judge(docs, references(docs), limits)
+
+
+_L = Limits()
+#: The rows of ``apply_rules`` with the default limits, without the distances.
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n
+  FROM (SELECT r, i, w[i:i + {WINDOW - 1}] AS k
+        FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i) s)),
+rep AS (
+  SELECT r, count(DISTINCT i + o) AS n FROM win, (SELECT unnest(generate_series(0, {WINDOW - 1})) AS o) WHERE n > 1 GROUP BY r),
+base AS (
+  SELECT r, doc_id, lang, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+         - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r)),
+languages AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {LANGUAGES}),
+word AS (SELECT r, lang, unnest(w) AS v FROM d),
+common AS (
+  SELECT DISTINCT v FROM (
+    SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, v) AS k
+    FROM word WHERE lang IN (SELECT lang FROM languages) AND length(v) <= {COMMON_LETTERS} AND regexp_matches(v, '^\pL+$')
+    GROUP BY lang, v) WHERE k <= {COMMON}),
+hist AS (
+  SELECT 'class' AS kind, r, lang, bin::VARCHAR AS bin, c
+  FROM (SELECT r, lang, generate_series(1, 8) AS bins,
+               list_transform(['[a-z]', '[A-Z]', '[\x20\x09-\x0D]', '[0-9]', '[#*$%&|<>!]', '[.,]'], lambda x: length(t) - length(regexp_replace(t, x, '', 'g'))) AS six,
+               length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS beyond, length(t) AS n FROM base) b,
+       LATERAL (SELECT unnest(bins) AS bin, unnest(six || [n - beyond - list_sum(six), beyond]) AS c) x
+  UNION ALL
+  SELECT 'word', g.r, g.lang, coalesce(g.v, ' '), coalesce(n.n, 0)
+  FROM (SELECT r, lang, v FROM d, (SELECT v FROM common UNION ALL SELECT NULL) c) g
+  LEFT JOIN (SELECT word.r, common.v, count(*) AS n FROM word LEFT JOIN common USING (v) GROUP BY ALL) n
+    ON n.r = g.r AND n.v IS NOT DISTINCT FROM g.v),
+share AS (SELECT *, c / greatest(sum(c) OVER (PARTITION BY kind, r), 1) AS p FROM hist),
+ref AS (
+  SELECT kind, lang, bin, sum(c) / sum(sum(c)) OVER (PARTITION BY kind, lang) AS q FROM hist
+  WHERE lang IN (SELECT lang FROM languages) GROUP BY kind, lang, bin),
+apart AS (
+  SELECT s.kind, s.r, sqrt(greatest(0,
+           sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) / 2
+           - sum(CASE WHEN p + q > 0 THEN (p + q) / 2 * log2((p + q) / 2) ELSE 0 END))) AS j
+  FROM share s JOIN ref ON ref.kind = s.kind AND ref.bin = s.bin WHERE q IS NOT NULL AND NOT isnan(q) GROUP BY s.kind, s.r, ref.lang),
+least AS (
+  SELECT r, min(j) FILTER (WHERE kind = 'class') AS classes, min(j) FILTER (WHERE kind = 'word') AS words FROM apart GROUP BY r),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (n_words < {_L.class_words} OR coalesce(classes, 0) <= {_L.classes})
+       AND (n_words < {_L.common_words} OR coalesce(words, 0) <= {_L.common}) AS kept
+FROM judged LEFT JOIN least USING (r)
+"""

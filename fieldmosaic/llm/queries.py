@@ -159,4 +159,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_lists": URL_SQL, "op7_line_dedup": line_dedup.SQL}
+    return {"op2_url_lists": URL_SQL, "op4_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
