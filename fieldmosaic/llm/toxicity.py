@@ -5,8 +5,11 @@ letters as look-alikes, puts separators between them and repeats them. Suspiciou
 a text (single characters with separators, letters mixed with look-alikes, a letter three
 times or more) become a lattice: each character may stand for itself, for letters it looks
 like, or for nothing. Viterbi decoding picks the path that is likeliest under the channel
-and a character trigram model counted over the whole corpus. The restored words are scored
-beside the text's own words.
+and a character trigram model counted over the whole corpus. Signs at a run's ends may be
+letters or punctuation and are read both ways; characters with separators between them are
+also read as several words, as a lattice of them may end a word anywhere. Runs have no
+length limit: time and memory follow their length. The restored words are scored beside
+the text's own words.
 
 What makes a word toxic is learned from labels: words, and word beginnings of four to seven
 letters, that come in toxic documents far more than in others. Near copies of a document
@@ -48,6 +51,8 @@ _SEPARATED = re.compile(rf"{_SINGLE}(?:[.\-_~/,*]{_SINGLE}){{2,}}")
 _MIXED = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _EDGE = ".,;:!?\"'()[]{}*$%&#|-_~/"
+#: Punctuation that is no letter's look-alike.
+_PLAIN_EDGE = "".join(c for c in _EDGE if c not in LOOK_ALIKES)
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the character model; number 0 is everything else, and the end of a word.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -57,8 +62,8 @@ _TABLE = np.zeros(0x110000, np.uint8)
 _TABLE[[ord(c) for c in ALPHABET]] = np.arange(1, _A)
 #: Costs (negative logarithms) of what the channel does to a character.
 SWAP, REPEAT, DROP, STRAY = 1.0, 0.5, 0.3, 12.0
-#: Longest run that is read as one disguised word.
-DISGUISED = 60
+#: Longest run whose reading is kept for the next time.
+REMEMBERED = 60
 LENGTHS = (4, 5, 6, 7)
 #: Precision of a feature at least.
 PRECISE = 0.75
@@ -98,12 +103,38 @@ def costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(triple / triple.sum(2, keepdims=True)).astype(np.float32)
 
 
+def _spelled(path: tuple | None) -> str:
+    """The letters of a linked path; number 0 is the end of a word."""
+    letters = []
+    while path:
+        path, code = path
+        letters.append(ALPHABET[code - 1] if code else " ")
+    return "".join(reversed(letters))
+
+
+def _cores(run: str) -> set[str]:
+    """A run less the punctuation around it. Signs at its ends that look like letters may be
+    either, so it is also cut wherever these change."""
+    run = run.strip(_PLAIN_EDGE)
+    inner = len(run.lstrip(_EDGE))
+    if not inner:
+        return set()
+    first, last = len(run) - inner, len(run.rstrip(_EDGE))
+    starts = {0, first, *[i for i in range(1, first) if run[i] != run[i - 1]]}
+    ends = {len(run), last, *[i for i in range(last + 1, len(run)) if run[i] != run[i - 1]]}
+    return {run[i:j].strip(_PLAIN_EDGE) for i in starts for j in ends}
+
+
 class Decoder:
     """Viterbi over character lattices; a state is the last two letters of the path."""
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost
-        self.decode = lru_cache(maxsize=200_000)(self._decode)
+        self._short = lru_cache(maxsize=200_000)(self._decode)
+
+    def decode(self, run: str, spaced: bool, cut: bool = False) -> str:
+        """The same as ``_decode``; only what takes little memory is remembered."""
+        return (self._short if len(run) <= REMEMBERED else self._decode)(run, spaced, cut)
 
     def _readings(self, run: str, spaced: bool) -> list[list[tuple[int, float]]]:
         out = []
@@ -119,44 +150,61 @@ class Decoder:
             out.append(options)
         return out
 
-    def _decode(self, run: str, spaced: bool) -> str:
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def _decode(self, run: str, spaced: bool, cut: bool = False) -> str:
+        """The likeliest reading; with ``cut``, words with blanks between them. A path is
+        its last letter and the path before, so that paths share what they have in common."""
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         cost = self.cost
         for options in self._readings(run, spaced):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (spent, word) in paths.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (spent, path) in paths.items():
                 for code, extra in options:
                     state = (b, code) if code else (a, b)
                     total = spent + extra + (float(cost[a, b, code]) if code else 0.0)
                     if state not in new or total < new[state][0]:
-                        new[state] = (total, word + ALPHABET[code - 1] if code else word)
+                        new[state] = (total, (path, code) if code else path)
+            if cut:
+                ends = [(spent + float(cost[a, b, 0]), path) for (a, b), (spent, path) in new.items() if b]
+                if ends:
+                    total, path = min(ends, key=lambda e: e[0])
+                    if (0, 0) not in new or total < new[0, 0][0]:
+                        new[0, 0] = (total, (path, 0))
             paths = new
-        ends = [(spent + float(cost[a, b, 0]), word) for (a, b), (spent, word) in paths.items()]
-        return min(ends)[1]
+        ends = [(spent + (float(cost[a, b, 0]) if b or not cut else 0.0), path) for (a, b), (spent, path) in paths.items()]
+        least = min(spent for spent, _ in ends)
+        return min(_spelled(path) for spent, path in ends if spent == least)
+
+    def _spaced(self, run: str) -> list[str]:
+        """A row of separated characters as one word and as several: cut where that is
+        likeliest, and what may begin a word at any other place."""
+        word = self.decode(run, True)
+        begun = [word[i : i + LENGTHS[-1]] for i in range(1, len(word) - LENGTHS[0] + 1)]
+        return [word, *self.decode(run, True, True).split(), *begun]
 
     def in_run(self, run: str) -> list[str]:
         """The words of a lower-case run without white space, and those it may stand for."""
         found = WORD.findall(run)
-        core = run.strip(_EDGE)
-        if 3 <= len(core) <= DISGUISED:
-            if _SEPARATED.fullmatch(core):
-                found.append(self.decode(core, True))
-            elif _TRIPLE.search(core) or (core[-1].isalpha() or core[0].isalpha()) and _MIXED.search(core):
-                found.append(self.decode(core, False))
+        for core in _cores(run):
+            if len(core) >= 3:
+                if _SEPARATED.fullmatch(core):
+                    found += self._spaced(core)
+                elif _TRIPLE.search(core) or _MIXED.search(core):
+                    found.append(self.decode(core, False))
         return found
 
     def in_singles(self, runs: list[str]) -> list[str]:
         """Words written as three or more single characters. Such a row is also read
-        without its first or last character, which may be a word of its own."""
+        without its first or last character, which may be a word of its own, and as
+        several words."""
         at = [i for i, r in enumerate(runs) if len(r) == 1]
         found, low = [], 0
         while low < len(at):
             high = low + 1
             while high < len(at) and at[high] == at[high - 1] + 1:
                 high += 1
-            if 3 <= high - low <= DISGUISED:
-                word = self.decode("".join(runs[at[low] : at[high - 1] + 1]), True)
-                found += [word, word[1:], word[:-1]]
+            if high - low >= 3:
+                word, *several = self._spaced("".join(runs[at[low] : at[high - 1] + 1]))
+                found += [word, word[1:], word[:-1], *several]
             low = high
         return found
 

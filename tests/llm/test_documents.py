@@ -284,6 +284,21 @@ def test_single_characters_are_joined(decoder):
     assert decoder.in_singles("plain words here".split()) == [] and decoder.in_run("plain") == ["plain"]
 
 
+@pytest.mark.parametrize("run,word", [("$tupid", "stupid"), ("($tupid!", "stupid"), ("m0r0n!!", "moron"), ("1d107", "idiot"), ("*7r45h*", "trash"), ("$.t.u.p.1.d", "stupid")])
+def test_disguise_at_the_ends_of_a_run(decoder, run, word):
+    assert word in decoder.in_run(run)
+
+
+def test_rows_of_single_characters_are_cut_into_words(decoder):
+    words = "what an idiot and a moron wrote this stupid worthless trash said the pathetic loser to the clown".split()
+    features = {f for w in decoder.in_singles(list("youstupididiot")) for f in toxicity.word_features(w)}
+    assert {"^stupid", "^idiot"} <= features
+    assert {"idiot", "moron", "worthless", "trash", "clown"} <= set(decoder.in_singles(list("".join(words))))
+    assert {"stupid", "moron"} <= set(decoder.in_run("-".join("thisstupidmoron" * 5)))
+    long = decoder.in_singles(list("idiot" * 4000))
+    assert "idiot" in long and len(decoder.decode("1d10t" * 4000, False)) >= 4000
+
+
 def test_toxicity_learns_and_sees_through_disguise(spark, documents):
     rng = np.random.default_rng(6)
     clean = ["sea", "sun", "hill", "river", "stone", "cloud", "road", "tree", "house", "bird"]
