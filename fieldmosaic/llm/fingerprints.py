@@ -8,11 +8,12 @@ least two and on average about three names apart; a block's new name is a hash o
 names in it. A block depends on a few names around it and on no offset, so equal
 substrings have equal names inside, wherever they stand.
 
-The fingerprint holds the ``KEPT`` smallest hashes of the distinct phrase names of level
-``LEVEL`` (phrases of about thirty characters), and for texts with fewer than ``ENOUGH``
-phrases there also of the levels below. The likeness of two fingerprints is the share of
-common names among the smallest of both together: 1 for equal texts, also for two empty
-ones, and near 0 for unrelated ones.
+The fingerprint holds, for each level apart, the ``KEPT`` smallest hashes of the distinct
+phrase names there, from the longest phrases (of about thirty characters) to the shortest.
+Two fingerprints are held against each other on the first level where both have ``ENOUGH``
+names, or else on that of the shortest phrases. Their likeness is the share of common names
+among the smallest of both together: 1 for equal texts, also for two empty ones, and near
+0 for unrelated ones.
 """
 
 from __future__ import annotations
@@ -77,38 +78,36 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _mix(sums + length.astype(np.uint64)), first[at]
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """Fingerprints of texts as ascending 32-bit numbers."""
+#: Ascending 32-bit numbers for each level, the longest phrases first.
+Sketch = tuple[np.ndarray, ...]
+
+
+def sketches(texts: list[str]) -> list[Sketch]:
+    """Fingerprints of texts."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     filled = np.flatnonzero(lengths)
+    none = np.zeros(0, np.uint32)
     if not len(filled):
-        return [np.zeros(0, np.uint32)] * len(texts)
+        return [(none,) * LEVEL] * len(texts)
     names = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     first = np.zeros(len(names), bool)
     first[offsets_of(lengths[filled])[:-1]] = True
     levels = []
-    for _ in range(LEVEL):
+    for depth in range(LEVEL):
         names, first = parse(names, first)
-        levels.append((names, np.cumsum(first) - 1))
-    few = np.ones(len(filled), bool)
-    keys = []
-    for depth, (names, of) in reversed(list(enumerate(levels))):
-        wanted = few[of]
-        names, of = names[wanted], of[wanted]
-        hashes = _mix(names + np.uint64(depth + 1) * _A) >> np.uint64(32)
-        keys.append((of.astype(np.uint64) << np.uint64(32)) | hashes)
-        few &= np.bincount(of, minlength=len(few)) < ENOUGH
-    keys = np.unique(np.concatenate(keys))
-    of = (keys >> np.uint64(32)).astype(np.int64)
-    bounds = offsets_of(np.bincount(of, minlength=len(filled)))
-    values = keys.astype(np.uint32)
-    out = [np.zeros(0, np.uint32)] * len(texts)
-    for i, a, b in zip(filled, bounds, bounds[1:], strict=False):
-        out[i] = values[a : min(b, a + KEPT)]
-    return out
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+        of = (np.cumsum(first) - 1).astype(np.uint64)
+        keys = np.unique((of << np.uint64(32)) | (_mix(names + np.uint64(depth + 1) * _A) >> np.uint64(32)))
+        bounds = offsets_of(np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(filled)))
+        values = keys.astype(np.uint32)
+        out = [none] * len(texts)
+        for i, a, b in zip(filled, bounds, bounds[1:], strict=False):
+            out[i] = values[a : min(b, a + KEPT)].copy()
+        levels.append(out)
+    return list(zip(*reversed(levels), strict=True))
+
+
+def likeness(one: Sketch, other: Sketch) -> float:
+    a, b = next((pair for pair in zip(one, other, strict=True) if min(map(len, pair)) >= ENOUGH), (one[-1], other[-1]))
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.concatenate([a, b])
@@ -120,8 +119,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(twice.sum() / len(limit))
 
 
-def text_of(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def text_of(sketch: Sketch) -> str:
+    """Hexadecimal digits, with a point between levels."""
+    return ".".join(values.astype(">u4").tobytes().hex() for values in sketch)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:

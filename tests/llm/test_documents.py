@@ -216,6 +216,17 @@ def test_fingerprints_of_neighbours(documents):
     assert len(plain) == len(ODD) and len({r.fingerprint for r in plain if r.doc_id == 9}) == 1
 
 
+def test_near_copies_of_any_length_are_alike():
+    rng = np.random.default_rng(4)
+    letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 2000)
+    texts = ["".join(letters[:n]) for n in range(60, 900)]
+    found = fingerprints.sketches(texts)
+    # copies that differ by their last three characters, on both sides of every limit
+    assert min(fingerprints.likeness(a, b) for a, b in zip(found, found[3:])) > 0.6
+    assert max(fingerprints.likeness(a, b) for a, b in zip(found, fingerprints.sketches(["".join(rng.permutation(list(t))) for t in texts]))) < 0.5
+    assert all(len(s) == fingerprints.LEVEL and all(len(x) <= fingerprints.KEPT for x in s) for s in found)
+
+
 def test_edited_takes_what_the_next_document_has():
     assert fingerprints.edited("abcdef", "xy") == "abcxy" and fingerprints.edited("abcde", "xyz") == "abcxy"
     assert fingerprints.edited("", "x") == "" and fingerprints.edited("é", "x") == "é"
