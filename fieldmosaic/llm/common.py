@@ -20,11 +20,15 @@ WHITE = r"[\x20\x09-\x0D]+"
 SLICE_CHARS = 1_000_000
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of a folder of tables. Python workers on this machine find the package
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder of tables. Python workers on this machine find the package
     where the driver does; a cluster gets it by ``--py-files``."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
 def whole_text(name: str = "text") -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmosaic.llm import boosted_quality, byte_bpe, fingerprints, line_dedup, ngram_join, packing, quality_rules, token_files, toxicity, url_lists
-from fieldmosaic.llm.common import documents
+from fieldmosaic.llm import (
+    ball_tree, boosted_quality, byte_bpe, fingerprints, line_dedup, ngram_join, packing, quality_rules, resampling, token_files, toxicity,
+    url_lists, zip_warc,
+)
+from fieldmosaic.llm.common import documents, table
 from fieldmosaic.llm.labelled import remainder
 from fieldmosaic.session import new_path
 
@@ -116,6 +119,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zip_warc.round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 URL_SQL = """
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + ((page_id * 7919) % 366)::INTEGER AS day,
@@ -155,8 +172,17 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_warc": op11_warc,
+    "op12_resampling": op12_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_lists": URL_SQL, "op4_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
+    return {
+        "op2_url_lists": URL_SQL,
+        "op4_quality_rules": quality_rules.SQL,
+        "op7_line_dedup": line_dedup.SQL,
+        "op11_warc": zip_warc.SQL,
+        "op13_ranked_search": ball_tree.SQL,
+    }
