@@ -493,16 +493,15 @@ def statements() -> dict[str, str]:
         "QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY zone_seq DESC) = 1",
     )
     s["warp_zones"] = _with(*WARP, then="SELECT * FROM warped")
-    s["staged_resume"] = _with(
-        *WARP,
-        _STACK,
-        (
-            "cells",
-            "SELECT cx AS px, cy AS py, value FROM warped JOIN stack USING (zone) "
-            "QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY zone_seq DESC) = 1",
-        ),
-        then=_pyramid((1, 4, 8), "arg_min(value, py * 1000000 + px)"),
+    cells = (
+        "cells",
+        "SELECT cx AS px, cy AS py, value FROM warped JOIN stack USING (zone) "
+        "QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY zone_seq DESC) = 1",
     )
+    top_left = "arg_min(value, py * 1000000 + px)"
+    s["staged_resume"] = _with(*WARP, _STACK, cells, then=_pyramid((1, 4, 8), top_left))
+    listed = ("pixels", f"{PIXELS[1][1]} AND seq % 3 <> 1")
+    s["listed_mosaic"] = _with(PIXELS[0], listed, *WARP[2:], _STACK, cells, then=_pyramid((1, 4, 8), top_left))
     s["overview_pyramid"] = _with(
         *GRID,
         then=_pyramid((32, 64, 128), "arg_min(value, py * 1000000 + px)"),

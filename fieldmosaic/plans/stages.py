@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions.naming import UNKNOWN_ZONE
 from fieldmosaic.operators.raster import combine_zones, mosaic_pixels, overview_pyramid, warp_zones
 from fieldmosaic.operators.tiles import with_zone, zone_mosaic
+from fieldmosaic.session import broadcast_if_small
 from fieldmosaic.sources.sinks import publish_partitions
+from fieldmosaic.sources.store import Parts, VersionedTable, file_states
 
 #: Coordinate systems of one job at most; their names are fetched to see which are missing.
 MAX_ZONES = 10_000
+#: Listed tiles up to which their numbers are sent to every task; more are joined by shuffle.
+MAX_LISTED = 500_000
 
 
 @dataclass(frozen=True)
@@ -37,16 +42,17 @@ class Stage:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A short text that changes with the input.
+    """A short text that changes with the input and is the same in every process.
 
-    A table read from files is known by their paths, lengths and times of change and by
-    the plan over them, so nothing is read to find out that there is nothing to do.
-    Other tables are known by their rows, in any order.
+    A table read from files alone is known by their paths, lengths and times of change and
+    by the plan over them, so nothing is read to find out that there is nothing to do.
+    Other tables, and plans that hold functions or subqueries whose text doesn't tell all,
+    are known by their rows, in any order.
     """
-    spark, files = df.sparkSession, df.inputFiles()
-    if files:
-        parts = sorted(_Folder(spark, f).state() for f in files)
-        return _digest(*parts, df.semanticHash(), df.schema)
+    files = df.inputFiles()
+    plan = _plan_text(df) if files else None
+    if plan is not None:
+        return _digest(*file_states(df.sparkSession, files), plan, df.schema)
     row_hash = F.xxhash64(*(f"`{c}`" for c in df.columns))
     got = df.agg(
         F.count(F.lit(1)), F.bit_xor(row_hash), F.sum(row_hash.cast("decimal(38,0)"))
@@ -58,54 +64,26 @@ def _digest(*parts: object) -> str:
     return hashlib.sha256("\n".join(map(str, parts)).encode()).hexdigest()[:16]
 
 
-class _Folder:
-    """Names and sizes in the shared file system, through Hadoop so any scheme works."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def child(self, name: str) -> "_Folder":
-        return _Folder(self.spark, f"{self.path}/{name}")
-
-    def state(self) -> str:
-        status = self._fs.getFileStatus(self._path)
-        return f"{self.path} {status.getLen()} {status.getModificationTime()}"
-
-    def exists(self) -> bool:
-        return self._fs.exists(self._path)
-
-    def sizes(self) -> dict[str, int]:
-        """Bytes per sub-folder holding data; per-file names when there is none."""
-        out = {}
-        for status in self._fs.listStatus(self._path):
-            name = status.getPath().getName()
-            if not name.startswith(("_", ".")):
-                out[name if status.isDirectory() else "files"] = self._fs.getContentSummary(
-                    status.getPath()
-                ).getLength() + (0 if status.isDirectory() else out.get("files", 0))
-        return out
-
-    def remove(self) -> None:
-        self._fs.delete(self._path, True)
-
-
-def _record(spark: SparkSession, parts: Mapping[str, int], path: str) -> None:
-    rows = spark.createDataFrame(sorted(parts.items()), "part string, bytes long")
-    rows.coalesce(1).write.mode("overwrite").json(path)
-
-
-def _intact(spark: SparkSession, path: str, whole: bool) -> dict[str, int]:
-    """Parts of a stage's table that were recorded after writing and still have their size;
-    none of a ``whole`` table in which any part has not."""
-    folder, manifest = _Folder(spark, path), _Folder(spark, f"{path}.parts")
-    if not (folder.exists() and manifest.child("_SUCCESS").exists()):
-        return {}
-    listed = spark.read.schema("part string, bytes long").json(manifest.path).collect()  # one row per zone or level
-    there = folder.sizes()
-    good = {r["part"]: r["bytes"] for r in listed if there.get(r["part"], 0) == r["bytes"]}
-    return {} if whole and len(good) < len(listed) else good
+def _plan_text(df: DataFrame) -> str | None:
+    """The analysed plan with its expressions numbered in order of appearance, as their own
+    numbers come from the process; None where the text doesn't hold all that the rows follow
+    from."""
+    spark, plan = df.sparkSession, df._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+    setting, before = "spark.sql.debug.maxToStringFields", spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set(setting, "1000000")  # else long column lists are cut
+    try:
+        text = plan.toString()
+    finally:
+        spark.conf.set(setting, before)
+    if re.search(r"UDF|subquery|exists#|MapIn|Sample|rand\w*\(|uuid\(|current_|\.\.\. \d+ more", text):
+        return None
+    seen: dict[str, str] = {}
+    return re.sub(r"#\d+|\b[xyz]_\d+\b", lambda m: seen.setdefault(m[0], f"#{len(seen)}"), text)
 
 
 def stage_paths(inputs: Mapping[str, DataFrame], stages: Sequence[Stage], base: str) -> dict[str, str]:
@@ -118,6 +96,18 @@ def stage_paths(inputs: Mapping[str, DataFrame], stages: Sequence[Stage], base:
     return {n: f"{base.rstrip('/')}/{n}-{d}" for n, d in names.items()}
 
 
+def _remade(stages: Sequence[Stage], overwrite: Collection[str]) -> set[str]:
+    """The stages named, and all that read one of them."""
+    unknown = set(overwrite) - {s.name for s in stages}
+    if unknown:
+        raise ValueError(f"no such stage: {', '.join(sorted(unknown))}")
+    out = set(overwrite)
+    for stage in stages:
+        if out & set(stage.reads):
+            out.add(stage.name)
+    return out
+
+
 def run_stages(
     source: DataFrame | Mapping[str, DataFrame],
     stages: Sequence[Stage],
@@ -130,41 +120,52 @@ def run_stages(
 
     ``source`` is the table of pixels, or several tables by name, pixels as ``source``. A
     stage's folder follows from the input and from all settings it depends on, so changed
-    settings never meet old tables. Stages by zone are resumed by zone: of zones listed by
-    the ``index`` stage those are made that a later stage needs and that are not there
-    whole. Stages named in ``overwrite`` are made anew. Below ``publish``, finished zones
-    and the last table replace what is there of them, by stage name.
+    settings never meet old tables, and a later process finds what an earlier one made.
+    Stages by zone are resumed by zone: of zones listed by the ``index`` stage those are made
+    that a later stage needs and that are not there whole. Stages named in ``overwrite``, and
+    those that read them, are made anew for all zones. A stage counts once its manifest is
+    there; of two jobs on one base, the first to finish a zone has made it. Below
+    ``publish``, finished zones and the last table replace what is there of them, by stage
+    name, each stage at once.
 
     Returns the last table, and per stage that ran the zones it made (none for a table that
     is made as a whole). ``clean`` removes the earlier tables.
     """
     inputs = dict(source) if isinstance(source, Mapping) else {"source": source}
     spark = inputs["source"].sparkSession
-    paths = stage_paths(inputs, stages, base)
-    known = {s.name: {} if s.name in overwrite else _intact(spark, paths[s.name], not s.by_zone) for s in stages}
+    again = _remade(stages, overwrite)
+    stores = {n: VersionedTable(spark, p, s.partition) for s, (n, p) in zip(stages, stage_paths(inputs, stages, base).items(), strict=True)}
+    said = {n: store.parts() for n, store in stores.items()}
+    known: dict[str, Parts] = {}
+    for stage in stages:
+        good = stores[stage.name].intact() if stage.name not in again else {}
+        known[stage.name] = good if stage.by_zone or len(good) == len(said[stage.name]) else {}
     tables, ran = dict(inputs), {}
 
     def make(stage: Stage, zones: Sequence[str] | None) -> None:
-        path = paths[stage.name]
+        store, before = stores[stage.name], said[stage.name]
         out = stage.build(tables)
         if zones is not None:
             out = out.filter(F.col("zone").isin(list(zones)))
-        writer = out
-        if stage.partition:
-            writer = out.hint("rebalance", F.col(stage.partition))
-        write = writer.write.mode("overwrite").option("partitionOverwriteMode", "static" if zones is None else "dynamic")
-        (write.partitionBy(stage.partition) if stage.partition else write).parquet(path)
-        parts = _Folder(spark, path).sizes()
-        if not parts:
+        made = store.write(out)
+        if not made and zones is None:
             raise RuntimeError(f"stage {stage.name} wrote no data")
         if zones is not None:
             # a zone without data has no folder; it is recorded all the same, as made
-            made = {f"zone={z}": parts.get(f"zone={z}", 0) for z in zones}
-            parts = {**known[stage.name], **made}
-        _record(spark, parts, f"{path}.parts")
+            made = {f"zone={z}": made.get(f"zone={z}", ("", 0)) for z in zones}
+            if not any(size for _, size in (*made.values(), *known[stage.name].values())):
+                raise RuntimeError(f"stage {stage.name} wrote no data")
+
+        def settled(now: Parts) -> Parts:
+            """What another job has made since this one looked stays."""
+            if zones is None:
+                return made if now == before else now
+            return {**now, **{k: v for k, v in made.items() if now.get(k) == before.get(k)}}
+
+        held = store.commit(settled)
         ran[stage.name] = list(zones or [])
-        known[stage.name] = parts
-        tables[stage.name] = spark.read.parquet(path)
+        known[stage.name] = held if zones is None else {k: v for k, v in held.items() if k in known[stage.name] or k in made}
+        tables[stage.name] = store.read(known[stage.name])
         if publish and (stage.by_zone or stage is stages[-1]):
             done = tables[stage.name]
             publish_partitions(done.filter(F.col("zone").isin(list(zones))) if zones else done, f"{publish}/{stage.name}", stage.partition)
@@ -174,7 +175,7 @@ def run_stages(
     if "index" in by_name:
         if not known["index"]:
             make(by_name["index"], None)
-        tables["index"] = spark.read.parquet(paths["index"])
+        tables["index"] = stores["index"].read(known["index"])
         found = tables["index"].select("zone").orderBy("zone").limit(MAX_ZONES + 1).collect()
         if len(found) > MAX_ZONES:
             raise ValueError(f"more than {MAX_ZONES} coordinate systems")
@@ -182,7 +183,7 @@ def run_stages(
         if not wanted:
             raise RuntimeError("stage index wrote no data")
     todo: dict[str, list[str] | None] = {}
-    asked: dict[str, set[str]] = {stages[-1].name: set(wanted)}
+    asked: dict[str, set[str]] = {name: set(wanted) for name in (stages[-1].name, *again)}
     for stage in reversed(stages):
         if stage.name not in asked or stage.name == "index":
             continue
@@ -199,13 +200,13 @@ def run_stages(
         zones = todo.get(stage.name, [])
         if zones is None or zones:
             make(stage, zones)
-        elif known[stage.name]:
-            tables[stage.name] = spark.read.parquet(paths[stage.name])
+        elif any(size for _, size in known[stage.name].values()):
+            tables[stage.name] = stores[stage.name].read(known[stage.name])
     if clean:
         for stage in stages[:-1]:
             if stage.name != "index":  # small, and what a later run starts from
-                _Folder(spark, paths[stage.name]).remove()
-                _Folder(spark, f"{paths[stage.name]}.parts").remove()
+                stores[stage.name].remove()
+        stores[stages[-1].name].sweep()
     return tables[stages[-1].name], ran
 
 
@@ -216,18 +217,30 @@ def mosaic_stages(
 
     The table ``source`` holds one row per tile pixel: ``seq, srs, px, py, value``. Tables
     ``tiles`` (``seq, url, srs`` and extent) and ``links`` (``url``), if given, make the
-    index: tiles that a listing has, by zone. Without them it comes from the pixels.
+    index: tiles that a listing has, by zone. The mosaic then holds pixels of these tiles
+    alone. Pixels in a zone that no tile of the table accounts for stop the job, unless their
+    system is unreadable. Without ``tiles`` the index comes from the pixels.
     """
 
+    def listed(t: dict[str, DataFrame]) -> DataFrame:
+        return t["tiles"].join(t["links"].select("url").distinct(), "url", "left_semi") if "links" in t else t["tiles"]
+
     def index(t: dict[str, DataFrame]) -> DataFrame:
         if "tiles" not in t:
             known = with_zone(t["source"]).filter(F.col("zone") != UNKNOWN_ZONE)
             return known.groupBy("zone").agg(F.min("seq").alias("first_seq"))
-        listed = t["tiles"].join(t["links"].select("url").distinct(), "url", "left_semi") if "links" in t else t["tiles"]
-        return zone_mosaic(listed)
+        tiles = with_zone(t["tiles"]).select("seq", "zone").distinct()
+        found = with_zone(t["source"]).filter(F.col("zone") != UNKNOWN_ZONE).groupBy("seq", "zone").agg(F.count(F.lit(1)).alias("pixels"))
+        lost = found.join(tiles, ["seq", "zone"], "left_anti").first()
+        if lost:
+            raise ValueError(f"tile {lost['seq']} has {lost['pixels']} pixels in {lost['zone']}, but no row with this zone among the tiles")
+        return zone_mosaic(listed(t))
 
     def zones(t: dict[str, DataFrame]) -> DataFrame:
-        return with_zone(t["source"]).drop("srs")
+        pixels = t["source"]
+        if "tiles" in t:
+            pixels = pixels.join(broadcast_if_small(listed(t).select("seq").distinct(), MAX_LISTED), "seq", "left_semi")
+        return with_zone(pixels).drop("srs")
 
     def combined(t: dict[str, DataFrame]) -> DataFrame:
         order = t["index"].select("zone", F.col("first_seq").alias("zone_seq"))

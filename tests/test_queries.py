@@ -50,8 +50,11 @@ def test_entry(spark):
 
 #: Fetches of a bounded number of rows, and why each is bounded.
 ALLOWED = {
+    "fieldmosaic/operators/learn.py": 1,  # the highest class number
     "fieldmosaic/operators/metrics.py": 1,  # class names, at most MAX_MATRIX_CLASSES + 1
-    "fieldmosaic/plans/stages.py": 2,  # parts of a stage and zones of the index, at most MAX_ZONES + 1
+    "fieldmosaic/plans/stages.py": 3,  # zones of the index, at most MAX_ZONES + 1; a hash of rows; one lost tile
+    "fieldmosaic/session.py": 1,  # a side to broadcast, max_rows + 1 rows
+    "fieldmosaic/sources/samples.py": 1,  # one row on the types of the columns
 }
 
 
@@ -60,7 +63,7 @@ def test_library_keeps_off_the_driver():
     for path in sorted(pathlib.Path(ROOT, "fieldmosaic").rglob("*.py")):
         name = str(path.relative_to(ROOT))
         if not name.startswith("fieldmosaic/llm/"):
-            calls = re.findall(r"\.(?:collect|toPandas|rdd|localCheckpoint|crossJoin)\b", path.read_text())
+            calls = re.findall(r"\.(?:collect|first|toArrow|toPandas|toLocalIterator|take|rdd|localCheckpoint|crossJoin)\b\(", path.read_text())
             if calls:
                 found[name] = len(calls)
     assert found == ALLOWED

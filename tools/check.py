@@ -35,6 +35,8 @@ def tables_of(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _comparable(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.reindex(columns=sorted(frame.columns))
     for name in frame.columns:
+        if isinstance(frame[name].dtype, pd.Int64Dtype | pd.Int32Dtype):  # as toPandas gives integers, with nulls and without
+            frame[name] = frame[name].astype("float64" if frame[name].isna().any() else frame[name].dtype.numpy_dtype)
         if frame[name].dtype == object or isinstance(frame[name].dtype, pd.StringDtype):
             frame[name] = frame[name].map(lambda v: None if v is None or v is pd.NA or v != v else str(v))
     return frame.sort_values(list(frame.columns), na_position="first", ignore_index=True)
