@@ -1,0 +1,163 @@
+"""Quantised pools and multiclass boosting against a plain fit, row by row."""
+
+import json
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from fieldmosaic.operators import boosting, learn, pools
+from fieldmosaic.session import new_path
+from fieldmosaic.sources import sinks
+
+BANDS = ["a", "b", "c"]
+
+
+def table(spark, n=400, seed=2):
+    rng = np.random.default_rng(seed)
+    x = np.stack([rng.integers(0, 12, n) * 1.0, rng.normal(size=n).round(1), rng.integers(0, 3, n) * 1.0], axis=1)
+    y = np.where(x[:, 0] < 4, "k1", np.where(x[:, 1] > 0.3, "k2", np.where(x[:, 0] < 9, "k0", "k3")))
+    w = rng.integers(1, 4, n) * 0.5
+    watched = rng.random(n) < 0.2
+    rows = [(i, *map(float, x[i]), str(y[i]), float(w[i]), bool(watched[i])) for i in range(n)]
+    return x, y, w, watched, spark.createDataFrame(rows, "key long, a double, b double, c double, label string, weight double, watched boolean")
+
+
+def plain_fit(x, y, w, watched, rounds, depth, rate, l2):
+    """The same trees by recursion on raw values: every cut of every band at every node."""
+    names = sorted(set(y))
+    target = np.array([[n == v for n in names] for v in y], float)
+    margins, losses = np.zeros((len(y), len(names))), []
+
+    def loss():
+        p = boosting._softmax(margins)
+        each = np.rint(-w * np.log((p * target).sum(axis=1)) * boosting.UNIT)
+        return each[watched].sum() / (w[watched].sum() * boosting.UNIT)
+
+    for _ in range(rounds):
+        losses.append(loss())
+        p = boosting._softmax(margins)
+        g = np.rint(w[:, None] * (target - p) * boosting.UNIT) / boosting.UNIT
+        h = np.rint(w[:, None] * p * (1 - p) * boosting.UNIT) / boosting.UNIT
+        part = lambda rows: (g[rows].sum(axis=0) ** 2 / (h[rows].sum(axis=0) + l2 + 1e-9)).sum()  # noqa: E731, B023
+
+        def grow(rows, inside, level):
+            learned = rows & ~watched
+            best = (0.0, None)
+            if level < depth:
+                for band in range(x.shape[1]):
+                    for edge in np.unique(x[learned, band])[1:]:
+                        right = learned & (x[:, band] >= edge)
+                        gain = part(learned & ~right) + part(right) - part(learned)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (band, edge))
+            if best[1] is None:
+                steps = rate * g[learned].sum(axis=0) / (h[learned].sum(axis=0) + l2 + 1e-9)  # noqa: B023
+                return margins_add(rows, steps if level else 0 * steps)
+            side = x[:, best[1][0]] >= best[1][1]
+            grow(rows & ~side, inside, level + 1)
+            grow(rows & side, inside, level + 1)
+
+        new = np.zeros_like(margins)
+
+        def margins_add(rows, steps):
+            new[rows] = steps  # noqa: B023
+
+        grow(np.ones(len(y), bool), None, 0)
+        margins = margins + new
+    losses.append(loss())
+    return margins, losses
+
+
+@pytest.mark.parametrize("kept", [16, 2])
+def test_equals_a_plain_fit(spark, monkeypatch, kept):
+    monkeypatch.setattr(boosting, "KEPT_ROUNDS", kept)
+    x, y, w, watched, df = table(spark)
+    pool = pools.write_pool(df.repartition(5), BANDS, weight="weight", watched="watched")
+    model = boosting.fit_boosted(pool, 4, depth=3, learning_rate=0.4, l2_leaf_reg=1.5, patience=50)
+    margins, losses = plain_fit(x, y, w, watched, 4, 3, 0.4, 1.5)
+    assert model.margins(x) == pytest.approx(margins, abs=1e-9) and model.history == pytest.approx(losses)
+    assert len(model.trees) == 4 and pool.labels == ("k0", "k1", "k2", "k3")
+    # other partitions, nodes in passes of their own: the same model to the last bit
+    monkeypatch.setattr(boosting, "CELLS", 1)
+    again = boosting.fit_boosted(pools.write_pool(df.coalesce(1).orderBy(F.desc("key")), BANDS, weight="weight", watched="watched"), 4, 3, 0.4, 1.5, patience=50)
+    assert [t.to_json() for t in again.trees] == [t.to_json() for t in model.trees]
+
+
+def test_settings_have_their_effect(spark):
+    _, _, _, _, df = table(spark)
+    pool = pools.write_pool(df, BANDS)
+    fit = lambda **s: boosting.fit_boosted(pool, 3, **{"depth": 3, **s})
+    size = lambda m: max(np.abs(t.steps).max() for t in m.trees)
+    assert size(fit(l2_leaf_reg=100.0)) < size(fit(l2_leaf_reg=0.0)) / 3
+    shapes = {s: json.dumps([(t.band.tolist(), t.code.tolist()) for t in fit(random_strength=200.0, seed=s).trees]) for s in (1, 2)}
+    assert shapes[1] != shapes[2] and shapes[1] == json.dumps([(t.band.tolist(), t.code.tolist()) for t in fit(random_strength=200.0, seed=1).trees])
+    assert {b for t in fit(bands=["c"]).trees for b in t.band.tolist()} <= {-1, 2}
+    with pytest.raises(ValueError):
+        fit(l2_leaf_reg=-1)
+    with pytest.raises(ValueError, match="no rows"):
+        boosting.fit_boosted(pool.where("class_index > 9"), 1)
+
+
+def test_watched_rows_end_the_fit(spark):
+    _, _, _, _, df = table(spark)
+    wrong = df.withColumn("label", F.when(F.col("watched"), F.lit("k3")).otherwise(F.col("label")))
+    model = boosting.fit_boosted(pools.write_pool(wrong, BANDS, watched="watched"), 30, depth=2, patience=3)
+    assert len(model.trees) == int(np.argmin(model.history)) < 30 and len(model.history) <= len(model.trees) + 4
+
+
+def test_model_as_a_stage(spark, tmp_path):
+    x, y, _, _, df = table(spark)
+    model = learn.train_classifier(df, BANDS, iterations=8, depth=4, weight="weight", validation="watched", l2_leaf_reg=1.0, random_strength=0.1)
+    sinks.save_model(model, str(tmp_path / "m"))
+    wanted = model.stages[1].margins(x)
+    for stage in (model, sinks.load_model(str(tmp_path / "m"))):
+        got = learn.predict(stage, df).select("key", "label", "predicted_label", vector_to_array("rawPrediction").alias("r"), vector_to_array("probability").alias("p")).collect()
+        for r in got:
+            assert r.r == pytest.approx(wanted[r.key].tolist()) and sum(r.p) == pytest.approx(1)
+            assert r.predicted_label == sorted(set(y))[int(np.argmax(r.r))]
+        assert np.mean([r.label == r.predicted_label for r in got]) > 0.95
+    assert learn.predict(model, df.limit(0)).count() == 0
+
+
+def test_prediction_change_by_hand():
+    leaf = np.zeros((3, 2))
+    leaf[1], leaf[2] = [1.0, 0.0], [-2.0, 0.0]
+    one = boosting.Tree(np.array([1, -1, -1]), np.array([0, 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]), leaf, np.array([9, 6, 3]), np.array([5.0, 0, 0]))
+    both = np.zeros((5, 2))
+    both[2], both[3], both[4] = [0.0, 4.0], [0.0, 1.0], [0.0, 2.0]
+    two = boosting.Tree(np.array([0, 1, -1, -1, -1]), np.zeros(5, int), np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]), both, np.array([8, 4, 4, 1, 3]), np.array([2.0, 1, 0, 0, 0]))
+    model = boosting.BoostedModel([one, two], ["x", "y"], [[0.5], [0.5]], 2)
+    # first tree: mean 0, 6 x 1 + 3 x 4 = 18 for y; second: mean of 1, 2, 2, 2 is 1.75: 0.5625 + 3 x 0.0625 = 0.75
+    # for y; 1.75 and 4 with 4 rows each: 2 x 4 x 1.125 ^ 2 = 10.125 for x
+    assert model.prediction_change() == pytest.approx([100 * 10.125 / 28.875, 100 * 18.75 / 28.875])
+    assert model.featureImportances == pytest.approx([2 / 8, 6 / 8])
+
+
+def test_pools(spark):
+    df = spark.createDataFrame([(i, float(i % 7), None if i == 99 else i * 0.5, "x" if i % 2 else "y") for i in range(99)], "key long, a double, b double, label string")
+    pool = pools.write_pool(df, ["a", "b"], keep=["key"], borders=[[1.0, 3.5], [20.0]])
+    got = {r.key: (r.x, r.y, r.class_index) for r in pool.rows.select("key", pools.code_of(0).alias("x"), pools.code_of(1).alias("y"), "class_index").collect()}
+    assert got == {i: (sum(e <= i % 7 for e in (1.0, 3.5)), int(i * 0.5 >= 20), 0 if i % 2 else 1) for i in range(99)}
+    found = pools.band_borders(df, ["a", "b"], 30)
+    assert found[0] == (1.0, 2.0, 3.0, 4.0, 5.0, 6.0) and 25 <= len(found[1]) <= 30
+    assert pools.read_pool(spark, pools.write_pool(df, ["a"], path=new_path(spark, "p")).rows.inputFiles()[0].rpartition("/rows/")[0]).borders == (found[0],)
+    with pytest.raises(ValueError, match="borders"):
+        pools.write_pool(df, ["a"], borders=[[2.0, 1.0]])
+    with pytest.raises(ValueError, match="label"):
+        pools.write_pool(df.withColumn("label", F.lit(None).cast("string")), ["a"])
+    holes = df.withColumn("b", F.when(F.col("key") < 90, F.col("b")))
+    with pytest.raises(Exception, match="missing values in b"):
+        pools.write_pool(holes, ["a", "b"])
+
+
+def test_grid_reads_one_pool(spark, monkeypatch):
+    _, _, _, _, df = table(spark, 200)
+    made, real = [], pools.write_pool
+    monkeypatch.setattr(learn, "write_pool", lambda *a, **k: made.append(1) or real(*a, **k))
+    folds = df.withColumn("fold", (F.col("key") % 2).cast("int"))
+    got, model = learn.grid_search(folds, BANDS, {"depth": [1, 3], "l2_leaf_reg": [1.0]}, k=2, iterations=2, seed=1)
+    rows = got.orderBy(F.desc("mean_test_score")).collect()
+    assert len(made) == 1 and [r.params for r in rows] == ["l2_leaf_reg=1.0, maxDepth=3", "l2_leaf_reg=1.0, maxDepth=1"]
+    assert 0.3 < rows[1].mean_test_score < rows[0].mean_test_score <= 1 and len(model.stages[1].trees) == 2
