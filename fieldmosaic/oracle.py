@@ -386,28 +386,57 @@ def statements() -> dict[str, str]:
     s["split_random"] = _with(KEYED, then="SELECT key, count(*) AS times FROM crop GROUP BY key")
     test = f"{_hash('key', '190')} >= {round(0.7 * 2**32)}"
     held_out = f"FROM labelled WHERE {NO_NULL} AND {NOT_TYPE} AND {test}"
-    s["train_tree"] = _with(*LABELLED, then=f"SELECT key, label, label AS predicted_label {held_out}")
+    s["train_tree"] = s["train_boosted"] = _with(*LABELLED, then=f"SELECT key, label, label AS predicted_label {held_out}")
+    borders = {"B06_p50": "500.0, 1250.5, 2500.0, 4000.0", "B06_sd": "0.25, 0.5, 1.0, 2.5", "NDVI_p50": "100.0, 350.25, 500.0", "VV_p50": "10.0, 40.0"}
+    counted = ", ".join(
+        f"len(list_filter([{edges}]::DOUBLE[], lambda e: e <= {band}))::INT AS code_{i}" for i, (band, edges) in enumerate(borders.items())
+    )
+    s["pool_codes"] = _with(
+        *LABELLED,
+        ("rows", f"SELECT * FROM labelled WHERE {NO_NULL} AND {NOT_TYPE}"),
+        then=f"SELECT key, (dense_rank() OVER (ORDER BY label) - 1)::INT AS class_index, {counted} FROM rows",
+    )
     s["model_round_trip"] = _with(*LABELLED, then=f"SELECT key, label, true AS same {held_out}")
     # A deeper tree fits more, and the code follows from the first band.
-    s["grid_search"] = "SELECT * FROM (VALUES (1, 'maxDepth=7'), (2, 'maxDepth=1')) v(position, params)"
+    s["grid_search"] = _with(
+        *LABELLED,
+        ("counts", f"SELECT label, count(*) AS n FROM labelled WHERE {NO_NULL} AND {NOT_TYPE} AND NOT ({test}) GROUP BY label"),
+        ("known", "SELECT max(n)::DOUBLE / sum(n) AS majority FROM counts"),
+        then="SELECT position, params, majority, above FROM known, (VALUES (1, 'maxDepth=7', true), (2, 'maxDepth=1', false)) v(position, params, above)",
+    )
     s["select_model"] = _with(
         *LABELLED,
         ("rows", f"SELECT label, {test} AS held_out FROM labelled WHERE {NO_NULL} AND {NOT_TYPE}"),
         then="SELECT count(DISTINCT label)::INT AS n_classes, count(*) FILTER (held_out) AS test_rows, "
         "'B06_p50' AS first_band, 'maxDepth=7' AS best FROM rows",
     )
-    s["importance"] = "SELECT 6::BIGINT AS n_bands, 1.0::DOUBLE AS total, 'B06_p50' AS first_band"
+    features = ("groupID", "zoneID", "B06_p50", "B06_sd", "NDVI_p50", "VV_p50")
+    alike = " UNION ALL ".join(f"""SELECT '{f}' AS band, ntile(23) OVER (ORDER BY "{f}") AS part, label FROM rows""" for f in features)
+    s["importance"] = _with(
+        *LABELLED,
+        ("rows", f"SELECT * FROM labelled WHERE {NO_NULL} AND {NOT_TYPE} AND NOT ({test})"),
+        ("alike", alike),
+        ("sizes", "SELECT band, part, label, count(*) AS n FROM alike GROUP BY ALL"),
+        ("named", "SELECT band, part, max(n) AS n FROM sizes GROUP BY ALL"),
+        ("ranked", "SELECT band, row_number() OVER (ORDER BY sum(n) DESC, band) = 1 AS strongest FROM named GROUP BY band"),
+        then="SELECT band, strongest, strongest AS moves_most, true AS in_scale FROM ranked",
+    )
     whole = ("wide", fixtures.derive_sql("lineitem", *fixtures.WIDE, (fixtures.KEY, "key")))
     strata = {"type_46000": "= 46000", "type_22000": "= 22000", "type_43000_6000": "IN (43000, 6000)"}
     s["scenario_summary"] = _with(
         whole,
         ("test", f"SELECT * FROM wide WHERE {NO_NULL} AND {test}"),
-        then=" UNION ALL ".join(
-            f"SELECT '{c.name}' AS scenario, count(*) AS test_rows FROM test "
-            f"WHERE {NOT_SEASON if c.name == 'season_full' else NOT_TYPE}"
-            + (f' AND "groupID" {strata[c.name]}' if c.name in strata else "")
-            for c in SCENARIOS
+        (
+            "counts",
+            " UNION ALL ".join(
+                f"SELECT '{c.name}' AS scenario, {SEASON_CASE if c.name == 'season_full' else TYPE_CASE} AS label, count(*) AS n FROM test "
+                f"WHERE {NOT_SEASON if c.name == 'season_full' else NOT_TYPE}"
+                + (f' AND "groupID" {strata[c.name]}' if c.name in strata else "")
+                + " GROUP BY ALL"
+                for c in SCENARIOS
+            ),
         ),
+        then="SELECT scenario, sum(n)::BIGINT AS test_rows, max(n)::DOUBLE / sum(n) AS majority, true AS above FROM counts GROUP BY scenario",
     )
 
     right = "count(*) FILTER (label = prediction)::DOUBLE / count(*)"

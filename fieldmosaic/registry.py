@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldmosaic import fixtures
 from fieldmosaic.functions import codes, naming
 from fieldmosaic.operators import clean, labels, learn, metrics, raster, splits, tiles, weights
+from fieldmosaic.operators import pools as quantised
 from fieldmosaic.plans import scenarios, selection, stages
 from fieldmosaic.session import new_path, tune
 from fieldmosaic.sources import samples, sinks
@@ -21,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PIXEL_SIZE = 10_000.0
 FOUR_BANDS = ["B06_p50", "B06_sd", "NDVI_p50", "VV_p50"]
 TYPE_NAMES = sorted([*codes.TYPE_CLASSES, codes.OTHER_CLASS])
+#: Borders of the four bands in ``pool_codes``.
+POOL_BORDERS = ((500.0, 1250.5, 2500.0, 4000.0), (0.25, 0.5, 1.0, 2.5), (100.0, 350.25, 500.0), (10.0, 40.0))
 
 
 def query(function):
@@ -391,41 +394,74 @@ def train_tree(spark, sf):
 
 @query
 def train_boosted(spark, sf):
-    """Watched one-vs-rest boosted trees with balanced weights."""
+    """Multiclass boosted trees with balanced weights, L2 and random strength. The code
+    follows from one band, so they must give back every label."""
     rows = _training_rows(spark, sf)
     rows = weights.attach_weights(rows, weights.auto_class_weights(rows))
     model = learn.train_classifier(
-        rows, FOUR_BANDS, algorithm="boosted", weight="weight", parallelism=4,
-        maxIter=3, maxDepth=4, seed=1,
+        rows, FOUR_BANDS, algorithm="boosted", weight="weight", iterations=100, depth=6, learning_rate=0.5,
+        l2_leaf_reg=1.0, random_strength=0.1, border_count=64, seed=1, patience=4, tolerance=0.02,
     )
-    scored = learn.predict(model, rows.filter("is_validation"))
-    return metrics.precision_recall_fscore_support(scored, "label", "predicted_label")
+    return learn.predict(model, rows.filter("is_validation")).select("key", "label", "predicted_label")
+
+
+@query
+def pool_codes(spark, sf):
+    """Codes of the bands of all training rows for given borders, from the written pool."""
+    pool = quantised.write_pool(_training_rows(spark, sf), FOUR_BANDS, keep=["key"], borders=POOL_BORDERS)
+    codes_of = (quantised.code_of(i).alias(f"code_{i}") for i in range(len(FOUR_BANDS)))
+    return pool.rows.select("key", "class_index", *codes_of)
+
+
+def _majority(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows and the share of the commonest label, in all or by ``keys``."""
+    counts = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("rows"), (F.max("n") / F.sum("n")).alias("majority"))
 
 
 @query
 def grid_search(spark, sf):
-    rows = splits.stratified_folds(_training_rows(spark, sf), "key")
+    """Candidates in order, and whether their mean score is a fifth above what naming the
+    commonest class would reach."""
+    rows = splits.stratified_folds(_training_rows(spark, sf), "key").filter(~F.col("is_validation"))
     table, _ = learn.grid_search(
-        rows.filter(~F.col("is_validation")), FOUR_BANDS, {"depth": [1, 7]},
-        algorithm="forest", iterations=20, seed=1,
-    )
-    return metrics.rank_candidates(table).select("position", "params")
+        rows, FOUR_BANDS, {"depth": [1, 7]}, algorithm="forest", iterations=20, seed=1
+    )
+    known = _majority(rows).select("majority").scalar()
+    ranked = metrics.rank_candidates(table).withColumn("majority", known)
+    return ranked.select("position", "params", "majority", (F.col("mean_test_score") >= F.col("majority") + 0.2).alias("above"))
 
 
 @query
 def importance(spark, sf):
+    """Per band its place by either measure of importance, held against the share of rows
+    whose class is the commonest one among the rows of like values."""
     rows = _training_rows(spark, sf)
-    table = metrics.rank_importance(learn.importance_table(_forest(rows), rows))
-    first = F.max(F.when(F.col("position") == 1, F.col("band"))).alias("first_band")
-    return table.agg(F.count(F.lit(1)).alias("n_bands"), F.round(F.sum("importance"), 9).alias("total"), first)
+    model = _forest(rows)
+    by_gain = metrics.rank_importance(learn.importance_table(model, rows))
+    by_change = metrics.rank_importance(learn.change_table(model, rows)).withColumnsRenamed({"importance": "change", "position": "change_position"})
+    both = by_gain.join(by_change, "band")
+    return both.select(
+        "band",
+        (F.col("position") == 1).alias("strongest"),
+        (F.col("change_position") == 1).alias("moves_most"),
+        (F.col("importance").between(0, 1) & F.col("change").between(0, 100)).alias("in_scale"),
+    )
 
 
 @query
 def scenario_summary(spark, sf):
+    """Test rows of each scenario, the share of their commonest class, and whether the model's
+    accuracy on them is a tenth above it."""
     path = new_path(spark, "sample-table")
     sinks.write_sample_table(clean.load_clean(fixtures.keyed_wide_crop(spark, sf)), path)
     scored = scenarios.train_scenarios(spark.read.parquet(path), key="key", iterations=20, depth=7, seed=1)
-    return scenarios.summarise(scored).select("scenario", "test_rows")
+    known = None
+    for name, (_, rows) in scored.items():
+        part = _majority(rows.select("label", F.lit(name).alias("scenario")), "scenario")
+        known = part if known is None else known.unionByName(part)
+    both = scenarios.summarise(scored).join(known, "scenario")
+    return both.select("scenario", "test_rows", "majority", (F.col("accuracy") >= F.col("majority") + 0.1).alias("above"))
 
 
 @query
