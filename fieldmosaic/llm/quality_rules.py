@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldmosaic.llm.common import fresh
 from fieldmosaic.llm.native import let, words
 
 MIN_WORDS = 20
@@ -214,23 +215,24 @@ def judge(docs: DataFrame, refs: References, limits: Limits = Limits(), text: st
     ``base_failed`` and ``kept``. Columns of these names are replaced."""
     added = (*BASE, "class_distance", "common_distance", "base_failed", "kept")
     plain = F.coalesce(F.col(text), F.lit(""))
-    listed = docs.select(*[c for c in docs.columns if c not in added], words(plain).alias("_words"), rest_of(plain).alias("_rest"))
-    out = listed.select("*", *[c.alias(k) for k, c in base_columns(F.col("_words"), plain, F.col("_rest")).items()])
+    own_words, own_rest = fresh(docs, "_words", "_rest")
+    listed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], words(plain).alias(own_words), rest_of(plain).alias(own_rest))
+    out = listed.select("*", *[c.alias(k) for k, c in base_columns(F.col(own_words), plain, F.col(own_rest)).items()])
     out = out.withColumn("base_failed", base_failed()).withColumns(
         {
             "class_distance": F.when(
-                ~F.col("base_failed") & (F.col("n_words") >= limits.class_words), distance(class_counts(plain, F.col("_rest"), F.col("word_chars")), refs.classes)
+                ~F.col("base_failed") & (F.col("n_words") >= limits.class_words), distance(class_counts(plain, F.col(own_rest), F.col("word_chars")), refs.classes)
             ),
             "common_distance": F.when(
                 ~F.col("base_failed") & (F.col("n_words") >= limits.common_words),
-                distance(common_counts(F.col("_words"), refs.common), refs.words),
+                distance(common_counts(F.col(own_words), refs.common), refs.words),
             ),
         }
     )
     near = (F.coalesce("class_distance", F.lit(0.0)) <= limits.classes) & (
         F.coalesce("common_distance", F.lit(0.0)) <= limits.common
     )
-    return out.withColumn("kept", ~F.col("base_failed") & near).drop("_words", "_rest")
+    return out.withColumn("kept", ~F.col("base_failed") & near).drop(own_words, own_rest)
 
 
 def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -22,5 +22,5 @@ def small_documents(spark, small):
 
 def clashing(df):
     """Extra columns with names that operators use themselves."""
-    names = ["ids", "part", "n", "score", "label", "kept", "host", "place", "block", "token", "n_lines", "base_failed", "_words"]
+    names = ["ids", "part", "n", "score", "label", "kept", "host", "place", "block", "token", "n_lines", "base_failed", "_words", "_rest", "_starts", "_kept", "_doc_key", "_of", "_rows", "_key", "_url", "_day"]
     return df.withColumns({c: F.lit("x") for c in names if c not in df.columns})
