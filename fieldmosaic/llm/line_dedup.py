@@ -8,9 +8,9 @@ earlier place of the order too, so no content is lost.
 
 A null text has no lines and stays null. Documents of one or two lines have no window and
 stay as they are, and so do documents without repeats, byte for byte; a document whose
-lines all go has an empty text. Null document ids come first. Rows with the same
-``doc_id`` count as one document: what one row repeats at the same line of the other is
-no repeat, and lines covered in one go in both. Extra columns pass through.
+lines all go has an empty text. Null document ids come first. Different texts under one
+``doc_id`` are different documents, in the order of a hash of their texts; equal rows are one
+document and come back alike. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmosaic.llm.common import fresh
 from fieldmosaic.llm.native import let
 
 LINES = 3
@@ -28,8 +29,13 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n")
 
 
+def _doc_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
 def windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``place`` (document and line as one number in order), ``h1``, ``h2``: one row per window."""
+    """``place`` (document id, 31 bits of the text's hash and line as one number in order),
+    ``of`` (the text's hash), ``h1``, ``h2``: one row per window."""
     places = let(
         _lines(text),
         lambda lines: F.filter(
@@ -46,16 +52,18 @@ def windows(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda w: w.isNotNull(),
         ),
     )
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("decimal(20,0)")
-    return docs.select(order.alias("doc"), F.explode(places).alias("w")).select(
-        (F.col("doc") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("w.line")).cast("decimal(38,0)").alias("place"),
+    found = docs.select(_doc_key().cast("decimal(19,0)").alias("doc"), F.xxhash64(text).alias("of"), F.explode(places).alias("w"))
+    low = F.shiftleft(F.col("of").bitwiseAND((1 << 31) - 1), 31) + F.col("w.line")
+    return found.select(
+        (F.col("doc") * F.lit(1 << 62).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("decimal(38,0)").alias("place"),
+        "of",
         "w.h1",
         "w.h2",
     )
 
 
 def covered(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_key``, ``starts``: the first lines of a document's covered windows.
+    """``doc_key``, ``of``, ``starts``: the first lines of a document's covered windows.
 
     Copies of a window merge before the shuffle. The join with the places that stay is a
     sort-merge join, in which adaptive execution splits a window with very many places.
@@ -63,11 +71,12 @@ def covered(docs: DataFrame, text: str = "text") -> DataFrame:
     every = windows(docs, text)
     first = every.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = every.join(first, ["h1", "h2"]).where(F.col("place") > F.col("first"))
-    base = F.lit(1 << 31).cast("decimal(10,0)")
-    line = F.pmod("place", base)
+    base = F.lit(1 << 62).cast("decimal(19,0)")
+    low = F.pmod("place", base)
+    doc = ((F.col("place") - low) / base).cast("decimal(19,0)").cast("long")
     return (
-        later.select(((F.col("place") - line) / base).cast("decimal(20,0)").cast("long").alias("doc_key"), line.cast("int").alias("line"))
-        .groupBy("doc_key")
+        later.select(doc.alias("doc_key"), "of", low.cast("long").bitwiseAND((1 << 31) - 1).cast("int").alias("line"))
+        .groupBy("doc_key", "of")
         .agg(F.collect_set("line").alias("starts"))
     )
 
@@ -75,27 +84,28 @@ def covered(docs: DataFrame, text: str = "text") -> DataFrame:
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without repeated lines, and ``n_lines`` and ``n_removed`` in front of no
     other change; columns of these names are replaced."""
-    marked = docs.withColumn("_doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(
-        covered(docs, text).withColumnRenamed("doc_key", "_doc_key").withColumnRenamed("starts", "_starts"), "_doc_key", "left"
-    )
+    own_key, own_hash, own_starts, own_kept = fresh(docs, "_doc_key", "_of", "_starts", "_kept")
+    found = covered(docs.select("doc_id", F.col(f"`{text}`")), text).toDF(own_key, own_hash, own_starts)
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
+    marked = plain.withColumns({own_key: _doc_key(), own_hash: F.xxhash64(text)}).join(found, [own_key, own_hash], "left")
     lines = _lines(text)
     kept = let(
         lines,
         lambda every: let(
             F.array_except(
                 F.sequence(F.lit(0), F.size(every) - 1),
-                F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (LINES - 1)))),
+                F.flatten(F.transform(own_starts, lambda s: F.sequence(s, s + (LINES - 1)))),
             ),
             lambda at: F.struct(F.array_join(F.transform(at, lambda i: F.get(every, i)), "\n").alias("text"), F.size(at).alias("n")),
         ),
     )
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    out = marked.withColumn("_kept", F.when(F.col("_starts").isNotNull() & F.col(text).isNotNull(), kept))
+    out = marked.withColumn(own_kept, F.when(F.col(own_starts).isNotNull() & F.col(text).isNotNull(), kept))
     return (
         out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.col("n_lines") - F.col("_kept.n"), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.col("_kept.text")))
-        .select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+        .withColumn("n_removed", F.coalesce(F.col("n_lines") - F.col(f"{own_kept}.n"), F.lit(0)).cast("long"))
+        .withColumn(text, F.when(F.col(own_kept).isNull(), F.col(text)).otherwise(F.col(f"{own_kept}.text")))
+        .select(*[F.col(f"`{c}`") for c in plain.columns], "n_lines", "n_removed")
     )
 
 
