@@ -17,8 +17,9 @@ effect; nor have an entry without a date or pattern, and an action or kind of an
 is an error. Schemes and hosts compare in lower case, without user, port and trailing dot;
 paths as they are, without query and fragment. A capture without a host or time is not
 judged: ``blocked`` is null. Captures may repeat, and keep their columns; columns named
-like the results are replaced. Hosts above the 253 letters of the domain name system are
-compared as a whole only.
+like the results are replaced, other names don't matter. Patterns may have any number of
+labels or segments: of a capture's parent domains and leading segments those are formed
+that are as long as the longest pattern of the lists at most.
 """
 
 from __future__ import annotations
@@ -27,11 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldmosaic.llm.common import fresh
 from fieldmosaic.llm.native import let
 
 KINDS = ("domain", "host", "prefix")
-#: Path segments of the longest prefix pattern.
-SEGMENTS = 16
 _URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)"
 
@@ -41,18 +41,16 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def _patterns(url: Column, host: Column, segments: int) -> Column:
-    """All patterns that a URL meets, as (kind, pattern)."""
-    labels = F.split(host, r"\.")
-    parents = F.when(
-        F.length(host) <= 253,
-        let(
-            labels,
-            lambda a: F.transform(
-                F.sequence(F.lit(1), F.size(a)), lambda i: F.array_join(F.slice(a, i, F.size(a)), ".")
-            ),
+def _patterns(url: Column, host: Column, labels: int, segments: int) -> Column:
+    """All patterns that a URL meets, as (kind, pattern), of at most so many labels and
+    segments."""
+    parents = let(
+        F.split(host, r"\."),
+        lambda a: F.transform(
+            F.when(F.lit(labels) > 0, F.sequence(F.greatest(F.lit(1), F.size(a) - labels + 1), F.size(a))).otherwise(F.array().cast("array<int>")),
+            lambda i: F.array_join(F.slice(a, i, F.size(a)), "."),
         ),
-    ).otherwise(F.array(host))
+    )
     path = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
     prefixes = let(
         path,
@@ -114,22 +112,22 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str, url: str = "url"
     added = ("host", "blocked", "n_matches", "lists", "since")
     rows = captures.select(*[c for c in captures.columns if c not in added], host_of(F.col(url)).alias("host"))
     valid = intervals(entries)
-    depth = entries.where("kind = 'prefix'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
-    if depth > SEGMENTS:
-        raise ValueError(f"a prefix pattern of {depth} segments; at most {SEGMENTS}")
-    names = {"_key": F.col(key), "_url": F.col(url), "_day": F.col(time).cast("date")}
+    parts = F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1), F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))
+    depth, labels = (n or 0 for n in entries.agg(*map(F.max, parts)).first())
+    of_key, of_url, of_day = fresh(rows, "_key", "_url", "_day")
+    names = {"_key": F.col(f"`{key}`"), "_url": F.col(f"`{url}`"), "_day": F.col(f"`{time}`").cast("date")}
     met = (
         rows.where(F.col("host").isNotNull() & F.col(time).isNotNull())
-        .select(*[c.alias(n) for n, c in names.items()], F.explode(_patterns(F.col(url), F.col("host"), depth)).alias("p"))
+        .select(*[c.alias(n) for n, c in names.items()], F.explode(_patterns(F.col(url), F.col("host"), labels, depth)).alias("p"))
         .select("_key", "_url", F.col("_day").alias("day"), "p.kind", "p.pattern")
         .distinct()
     )
     hits = met.join(active(met.select("kind", "pattern", "day").distinct(), valid), ["kind", "pattern", "day"])
-    found = hits.groupBy("_key", "_url", F.col("day").alias("_day")).agg(
+    found = hits.groupBy(F.col("_key").alias(of_key), F.col("_url").alias(of_url), F.col("day").alias(of_day)).agg(
         F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("valid_from").alias("since")
     )
     joined = rows.join(
-        found, F.col(key).eqNullSafe(F.col("_key")) & (F.col(url) == F.col("_url")) & (F.col(time).cast("date") == F.col("_day")), "left"
+        found, F.col(f"`{key}`").eqNullSafe(F.col(of_key)) & (F.col(url) == F.col(of_url)) & (F.col(time).cast("date") == F.col(of_day)), "left"
     )
     judged = F.col("host").isNotNull() & F.col(time).isNotNull()
     return joined.select(
