@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmosaic.llm.common import batch_of, offsets_of, ragged, text_slices, whole_text, written
+from fieldmosaic.llm.common import batch_of, fresh, offsets_of, ragged, text_slices, whole_text, written
 from fieldmosaic.llm.components import components
 
 WORDS = 5
@@ -353,9 +353,17 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component; rows without an id all stay."""
-    least = join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(least, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """The document with the least id of each component, one row of each of its texts. Rows
+    without an id belong to no component; one row of each of their texts stays.
+
+    Only rows of an id that comes more than once are held against each other by their texts.
+    """
+    (rows,) = fresh(docs, "_rows")
+    least = join(docs.select("doc_id", "text")).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows))
+    kept = docs.join(least, "doc_id")
+    once = kept.where(F.col(rows) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = kept.where(F.col(rows) > 1).select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:
