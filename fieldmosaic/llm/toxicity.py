@@ -6,14 +6,17 @@ a text (single characters with separators, letters mixed with look-alikes, a let
 times or more) become a lattice: each character may stand for itself, for letters it looks
 like, or for nothing. Viterbi decoding picks the path that is likeliest under the channel
 and a character trigram model counted over the whole corpus. Signs at a run's ends may be
-letters or punctuation and are read both ways; characters with separators between them are
+letters or punctuation and are read both ways. Characters that are not seen go, letters of
+other scripts beside Latin ones are read as these, a separator between letters and a doubled
+letter are read with and without; characters with separators between them are
 also read as several words, as a lattice of them may end a word anywhere. Runs have no
 length limit: time and memory follow their length. The restored words are scored beside
 the text's own words.
 
 What makes a word toxic is learned from labels: words, and word beginnings of four to seven
 letters, that come in toxic documents far more than in others. Near copies of a document
-count once: documents with the same least word hash are one family. A feature is kept when
+count once: documents that agree in the least hash of their runs of three words are one
+family. A feature is kept when
 its likelihood ratio outweighs the number of features looked at. A document's score grows
 with the precision of its strongest features.
 
@@ -53,6 +56,14 @@ _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _EDGE = ".,;:!?\"'()[]{}*$%&#|-_~/"
 #: Punctuation that is no letter's look-alike.
 _PLAIN_EDGE = "".join(c for c in _EDGE if c not in LOOK_ALIKES)
+#: Letters of other scripts that look like Latin ones.
+_FOREIGN = str.maketrans("авеікмнорстухѕјɡοαν", "abeikmhopctyxsjgoav")
+#: Characters that are not seen.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_LATIN = re.compile("[a-z]")
+#: One separator between letters; the same letter twice.
+_JOINED = re.compile(r"(?<=[^\W\d_])[.\-_~/,*](?=[^\W\d_])")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the character model; number 0 is everything else, and the end of a word.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -125,6 +136,22 @@ def _cores(run: str) -> set[str]:
     return {run[i:j].strip(_PLAIN_EDGE) for i in starts for j in ends}
 
 
+def _seen(run: str) -> str:
+    """A run as it looks: without what is not seen, and with letters of other scripts between
+    Latin ones as the Latin ones they look like."""
+    if run.isascii():
+        return run
+    run = _UNSEEN.sub("", run)
+    return run.translate(_FOREIGN) if _LATIN.search(run) else run
+
+
+def _family(text: str) -> int:
+    """What near copies mostly share: the least hash of their runs of three words. Documents
+    that are no near copies have few such runs in common and hardly ever the least one."""
+    runs = text.lower().split()
+    return min(xxhash.xxh3_64_intdigest(" ".join(runs[i : i + 3])) for i in range(max(1, len(runs) - 2))) >> 1
+
+
 class Decoder:
     """Viterbi over character lattices; a state is the last two letters of the path."""
 
@@ -184,18 +211,25 @@ class Decoder:
     def in_run(self, run: str) -> list[str]:
         """The words of a lower-case run without white space, and those it may stand for."""
         found = WORD.findall(run)
+        run = _seen(run)
         for core in _cores(run):
             if len(core) >= 3:
                 if _SEPARATED.fullmatch(core):
                     found += self._spaced(core)
-                elif _TRIPLE.search(core) or _MIXED.search(core):
-                    found.append(self.decode(core, False))
+                    continue
+                whole = _JOINED.sub("", core)
+                if whole != core or run not in found:
+                    found += WORD.findall(whole)
+                found += [self.decode(c, False) for c in {core, whole} if _TRIPLE.search(c) or _MIXED.search(c)]
+                if _DOUBLE.search(whole):
+                    found += WORD.findall(_DOUBLE.sub(r"\1", whole))
         return found
 
     def in_singles(self, runs: list[str]) -> list[str]:
         """Words written as three or more single characters. Such a row is also read
         without its first or last character, which may be a word of its own, and as
         several words."""
+        runs = [r if len(r) == 1 else _seen(r).rstrip(_PLAIN_EDGE) if len(r) <= 3 else "" for r in runs]
         at = [i for i, r in enumerate(runs) if len(r) == 1]
         found, low = [], 0
         while low < len(at):
@@ -240,8 +274,7 @@ def _feature_rows(found: DataFrame, cost: np.ndarray, wanted: frozenset[str] | N
         for _, texts in text_slices(batches):
             pairs = set()
             for text in texts:
-                words = words_of(text, decoder)
-                family = min((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), default=0)
+                words, family = words_of(text, decoder), _family(text)
                 for w in words:
                     pairs.update((f, family) for f in word_features(w) if wanted is None or f in wanted)
             yield batch_of(schema, [[f for f, _ in pairs], [n for _, n in pairs]])

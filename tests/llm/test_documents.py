@@ -367,3 +367,62 @@ def test_url_lists_as_of_the_fetch(spark):
     assert not any(r.blocked for r in url_lists.evaluate(captures, entries.limit(0), "page_id").collect())
     with pytest.raises(Exception, match="unknown kind or action"):
         url_lists.evaluate(captures, entries.withColumn("action", F.lit("block")), "page_id").collect()
+
+
+def test_texts_of_one_id_keep_their_lines(documents):
+    """Different texts under one id are different documents: no line is lost that stands
+    nowhere else, and equal rows come back alike."""
+    rows = [(1, "p\nq\nr\ns"), (0, "z\ny\nx\nw\nv"), (0, "y\nx\nw"), (0, "y\nx\nw"), (None, "y\nx\nw\nk"), (None, "q\nr\ns\nt")]
+    got = collections.Counter((r.doc_id, r.text) for r in line_dedup.remove_repeats(documents(rows)).collect())
+    held = {line for _, t in got for line in t.split("\n")}
+    assert {line for _, t in rows for line in t.split("\n")} <= held
+    assert sum(got.values()) == len(rows)
+    assert got[None, "y\nx\nw\nk"] == 1 and got[1, "p"] == 1  # rows without an id come first
+
+
+def test_one_row_of_each_text_stays(documents):
+    text, other = " ".join("abcdefgh"), " ".join("stuvwxyz")
+    kept = ngram_join.keep_one(clashing(documents([(1, text), (1, text), (None, other), (None, other), (4, text), (5, "a b")]))).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", text), ("5", "a b"), ("None", other)]
+
+
+def test_patterns_of_any_length(spark):
+    host = ".".join(["long" * 10] * 8)
+    deep = "deep.com/" + "/".join(f"s{i}" for i in range(20))
+    entries = spark.createDataFrame([("a", "domain", host.partition(".")[2], "add", day(0)), ("b", "prefix", deep, "add", day(0))], "list string, kind string, pattern string, action string, day date")
+    rows = [(1, f"http://{host}/x"), (2, f"http://{deep}/more?q"), (3, f"http://{deep}".rpartition("/")[0]), (4, "http://x.com/")]
+    table = spark.createDataFrame([(i, u, datetime.datetime(2024, 2, 1)) for i, u in rows], "id long, url string, fetch_time timestamp")
+    got = {r.id: r.lists for r in url_lists.evaluate(clashing(table), entries, "id").collect()}
+    assert len(host) > 253 and got == {1: "a", 2: "b", 3: "", 4: ""}
+
+
+@pytest.mark.parametrize("run", ["iddiot", "id-iot", "id.iot", "id​iot", "іdiоt", "1d-10t", "idi_ot"])
+def test_small_disguises(decoder, run):
+    assert "idiot" in decoder.in_run(run)
+
+
+def test_dotted_rows_and_families(decoder):
+    assert "idiot" in decoder.in_singles("i. d. i. o. t. and".split())
+    rng = np.random.default_rng(1)
+    names = [f"w{i}" for i in range(300)]
+    plain = [" ".join(["the", *rng.choice(names, 80)]) for _ in range(300)]
+    assert len({toxicity._family(t) for t in plain}) == 300
+    assert toxicity._family(plain[0]) == toxicity._family(plain[0].upper())
+    assert toxicity._family("") == toxicity._family(" ") and toxicity._family("a") != toxicity._family("b")
+
+
+def test_viterbi_equals_an_exhaustive_search(decoder):
+    """Short lattices: every path is spelled out and the likeliest one is the reading."""
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        run = "".join(rng.choice(list("aio0134$@t."), 4))
+        paths = []
+        for choice in itertools.product(*decoder._readings(run, False)):
+            spent, a, b, word = 0.0, 0, 0, ""
+            for code, extra in choice:
+                spent += extra
+                if code:
+                    spent += float(decoder.cost[a, b, code])
+                    a, b, word = b, code, word + toxicity.ALPHABET[code - 1]
+            paths.append((spent + float(decoder.cost[a, b, 0]), word))
+        assert decoder._decode(run, False) in {w for s, w in paths if s <= min(paths)[0] + 1e-6}
