@@ -257,7 +257,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     ``target`` has a column ``text``, too."""
     head = head_of(docs)
     gain = gains(bucket_totals(docs, head), bucket_totals(target, head))
-    return ranked(scored(weigh(docs, head, gain), seed), percent, least_words)
+    # written first, as finding the ranges reads the scores once more
+    return ranked(written(scored(weigh(docs, head, gain), seed), "weighed"), percent, least_words)
 
 
 def brute_force(docs: list[tuple[int, str | None]], target: list[str | None], percent: int = 5, least_words: int = 20, seed: int = 42) -> dict:
