@@ -95,6 +95,16 @@ MIXED_PIXELS = (
     *PIXELS[2:],
 )
 
+# Windows on zones, one per supplier: from a cell to some hundred kilometres wide.
+WINDOWS = (
+    ("s_suppkey", "window"),
+    ("concat('EPSG326', CAST(29 + s_suppkey % 7 AS VARCHAR(20)))", "zone"),
+    ("CAST(195000 + (s_suppkey * 37 % 60) * 10000 AS DOUBLE)", "xmin"),
+    ("CAST(3995000 + (s_suppkey * 53 % 40) * 10000 AS DOUBLE)", "ymin"),
+    ("CAST(205000 + (s_suppkey * 37 % 60) * 10000 + (s_suppkey % 6) * (s_suppkey % 6) * 15000 AS DOUBLE)", "xmax"),
+    ("CAST(4010000 + (s_suppkey * 53 % 40) * 10000 + (s_suppkey % 5) * 40000 AS DOUBLE)", "ymax"),
+)
+
 # Whole numbers of 16 digits, beyond what a double holds.
 SERIAL = ("9007199254740993 + 2 * l_orderkey", "serial")
 
@@ -135,3 +145,7 @@ def mixed_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "events"), *PIXELS)
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(table(spark, sf_dir, "supplier"), *WINDOWS)

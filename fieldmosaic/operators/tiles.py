@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmosaic.functions.geo import geographic_to_laea, is_target, source_code, utm_to_geographic
 from fieldmosaic.functions.naming import UNKNOWN_ZONE, zone_of
+from fieldmosaic.operators.raster import mosaic_pixels
 
 
 def with_zone(tiles: DataFrame, srs: str = "srs") -> DataFrame:
@@ -84,3 +85,65 @@ def skip_existing(
 ) -> DataFrame:
     """Outputs still to be made: all of them, or those not there yet."""
     return wanted if overwrite else wanted.join(existing.select(name), name, "left_anti")
+
+
+def _placed_boxes(boxes: DataFrame, cell: float, levels: list[int] | None, carry: list[str], as_: str) -> DataFrame:
+    """Boxes in the cells that they touch, on their own level and on each coarser one in use.
+
+    A cell of level n is 2 ** n cells wide; a box's own level is the least whose cells are as
+    wide as the box, so it touches four cells of a level at most."""
+    width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    own = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(width, F.lit(cell)) / F.lit(cell)))).cast("int")
+    kept = boxes.select("zone", *carry, *(F.col(c).cast("double").alias(f"{as_}_{c}") for c in _BOX), own.alias(f"{as_}_own"))
+    if levels is None:
+        return kept
+    at = kept.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).where(F.col("level") >= F.col(f"{as_}_own"))
+    wide = F.lit(float(cell)) * F.pow(F.lit(2.0), "level")
+    for axis in "xy":
+        low, high = (F.floor(F.col(f"{as_}_{axis}{end}") / wide) for end in ("min", "max"))
+        at = at.withColumn(f"cell_{axis}", F.explode(F.sequence(low, high)))
+    return at
+
+
+_BOX = ("xmin", "ymin", "xmax", "ymax")
+
+
+def overlaps(sources: DataFrame, windows: DataFrame, cell: float, keep: tuple[str, ...] = ("seq",), name: str = "window") -> DataFrame:
+    """``name, zone`` and the ``keep`` columns of sources: every window with every source of its
+    zone whose box shares more than an edge with it, each pair once.
+
+    Both sides have ``zone, xmin, ymin, xmax, ymax``. Boxes meet in the cells of a grid, on the
+    coarser one of their levels, so no pair of boxes in different places is ever formed, and a
+    large box is in few cells. A pair counts in the cell that holds the lower left corner of
+    what both share. Cells with very many boxes are keys of an inner join, which adaptive
+    execution splits. A box with a missing or reversed side overlaps nothing.
+    """
+    good = F.expr("xmin <= xmax AND ymin <= ymax")
+    sources, windows = sources.where(good), windows.where(good)
+    used = [_placed_boxes(b, cell, None, [], "b").select(F.col("b_own").alias("own")).distinct() for b in (sources, windows)]
+    levels = sorted({r["own"] for r in used[0].union(used[1]).distinct().limit(MAX_LEVELS + 1).collect()})
+    if len(levels) > MAX_LEVELS:
+        raise ValueError("boxes are too unlike in size")
+    if not levels:
+        levels = [0]
+    a = _placed_boxes(sources, cell, levels, list(keep), "s")
+    b = _placed_boxes(windows, cell, levels, [name], "w")
+    wide = F.lit(float(cell)) * F.pow(F.lit(2.0), "level")
+    corner = [F.floor(F.greatest(f"s_{c}min", f"w_{c}min") / wide) == F.col(f"cell_{c}") for c in "xy"]
+    meet = F.expr("s_xmin < w_xmax AND s_xmax > w_xmin AND s_ymin < w_ymax AND s_ymax > w_ymin")
+    joined = a.join(b, ["zone", "level", "cell_x", "cell_y"]).where((F.col("level") == F.greatest("s_own", "w_own")) & corner[0] & corner[1] & meet)
+    return joined.select(name, "zone", *keep)
+
+
+#: Different levels of boxes at most, each twice as wide as the one before.
+MAX_LEVELS = 64
+
+
+def window_pixels(pixels: DataFrame, windows: DataFrame, size: float, name: str = "window") -> DataFrame:
+    """``name, zone, px, py, value, seq``: the mosaic of each window, from the pixels of zones
+    (``zone, px, py, value, seq``, ``size`` wide) that it overlaps; the last source with data
+    gives the value."""
+    edges = {"xmin": F.col("px"), "ymin": F.col("py"), "xmax": F.col("px") + 1, "ymax": F.col("py") + 1}
+    boxes = pixels.where("value IS NOT NULL").withColumns({k: v * F.lit(float(size)) for k, v in edges.items()})
+    found = overlaps(boxes, windows, 8 * size, ("px", "py", "value", "seq"), name)
+    return mosaic_pixels(found, keys=(name, "zone", "px", "py"))

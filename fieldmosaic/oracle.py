@@ -504,6 +504,17 @@ def statements() -> dict[str, str]:
         then=f"SELECT zone || '.vrt' AS output, zone, count(*) AS n_tiles {known} AND right(zone, 1)::INT % 2 = 1 GROUP BY zone",
     )
 
+    asked = ("asked", fixtures.derive_sql("supplier", *fixtures.WINDOWS))
+    s["window_sources"] = _with(
+        *TILES, asked,
+        then='SELECT a."window", a.zone, z.seq, z.url FROM asked a JOIN zoned z ON z.zone = a.zone '
+        "AND z.xmin < a.xmax AND z.xmax > a.xmin AND z.ymin < a.ymax AND z.ymax > a.ymin",
+    )
+    s["window_pixels"] = _with(
+        *PIXELS, asked,
+        then='SELECT a."window", a.zone, m.px, m.py, m.value, m.seq FROM asked a JOIN mosaic m ON m.zone = a.zone '
+        "AND m.px * 10000 < a.xmax AND (m.px + 1) * 10000 > a.xmin AND m.py * 10000 < a.ymax AND (m.py + 1) * 10000 > a.ymin",
+    )
     s["mosaic_pixels"] = _with(*PIXELS, then="SELECT * FROM mosaic")
     s["reproject"] = _with(*MOVED, then="SELECT zone, px, py, round(tx, 3) AS tx, round(ty, 3) AS ty FROM moved")
     s["regrid"] = _with(*REGRID, then="SELECT * FROM regridded")

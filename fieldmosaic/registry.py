@@ -560,6 +560,18 @@ def skip_existing(spark, sf):
     return tiles.skip_existing(wanted, existing).select("output", "zone", "n_tiles")
 
 
+@query
+def window_sources(spark, sf):
+    """The tiles that each window overlaps."""
+    return tiles.overlaps(tiles.zone_sources(fixtures.tiles(spark, sf)), fixtures.windows(spark, sf), 4 * PIXEL_SIZE, ("seq", "url"))
+
+
+@query
+def window_pixels(spark, sf):
+    """The mosaic of each window alone."""
+    return tiles.window_pixels(_zone_pixels(spark, sf), fixtures.windows(spark, sf), PIXEL_SIZE)
+
+
 # Pixels.
 
 

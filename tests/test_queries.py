@@ -54,6 +54,7 @@ ALLOWED = {
     "fieldmosaic/operators/pools.py": 3,  # a row of borders, MAX_CLASSES + 1 names, one document
     "fieldmosaic/operators/learn.py": 1,  # the highest class number
     "fieldmosaic/operators/metrics.py": 1,  # class names, at most MAX_MATRIX_CLASSES + 1
+    "fieldmosaic/operators/tiles.py": 1,  # levels of boxes, at most MAX_LEVELS + 1
     "fieldmosaic/plans/stages.py": 3,  # zones of the index, at most MAX_ZONES + 1; a hash of rows; one lost tile
     "fieldmosaic/session.py": 1,  # a side to broadcast, max_rows + 1 rows
     "fieldmosaic/sources/samples.py": 1,  # one row on the types of the columns

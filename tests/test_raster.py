@@ -271,3 +271,28 @@ def test_skip_existing(spark):
     there = spark.createDataFrame([("a.vrt", 1), ("a.vrt", 2)], "output string, size int")
     assert [r.output for r in tiles.skip_existing(wanted, there).collect()] == ["b.vrt"]
     assert tiles.skip_existing(wanted, there, overwrite=True).count() == 2
+
+
+def test_overlaps_of_boxes_of_all_sizes(spark):
+    """Every pair once, whatever the sizes: against all pairs by hand."""
+    rng = np.random.default_rng(4)
+
+    def boxes(n, name):
+        at = rng.uniform(-300, 300, (n, 2)).round(1)
+        size = (2.0 ** rng.uniform(-3, 9, (n, 2))).round(1)
+        rows = [(i, f"z{i % 2}", *map(float, (*at[i], *(at[i] + size[i])))) for i in range(n)]
+        rows += [(n, "z0", 0.0, 0.0, 0.0, 0.0), (n + 1, "z0", 5.0, 0.0, 1.0, 9.0), (n + 2, "z1", None, 0.0, 1.0, 9.0), (n + 3, "z0", -1e6, -1e6, 1e6, 1e6)]
+        return rows, spark.createDataFrame(rows, f"{name} long, zone string, xmin double, ymin double, xmax double, ymax double")
+
+    (a, sources), (b, windows) = boxes(150, "seq"), boxes(40, "window")
+    for cell in (1.0, 16.0, 1000.0):
+        got = sorted((r.window, r.seq) for r in tiles.overlaps(sources, windows, cell).collect())
+        expected = sorted(
+            (w[0], s[0]) for w in b for s in a
+            if w[1] == s[1] and None not in (*w, *s) and s[2] <= s[4] and w[2] <= w[4]
+            and s[2] < w[4] and s[4] > w[2] and s[3] < w[5] and s[5] > w[3]
+        )
+        assert got == expected
+    plan = tiles.overlaps(sources, windows, 16.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert tiles.overlaps(sources.limit(0), windows.limit(0), 1.0).count() == 0
