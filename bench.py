@@ -21,9 +21,9 @@ WARMED = (
     "clean_samples", "cast_all_int", "select_small", "label_type", "label_from_table", "class_counts",
     "balanced_weights", "weighted_samples", "split_hash", "folds", "accuracy", "prf_support",
     "confusion", "tile_links_all", "zone_groups", "zone_mosaic", "mosaic_pixels", "reproject",
-    "regrid", "warp_zones", "combine_zones", "overview_pyramid",
+    "regrid", "warp_zones", "combine_zones", "overview_pyramid", "window_sources", "window_pixels",
 )
-ONCE = ("read_csv", "publish", "staged_resume", "train_score")
+ONCE = ("read_csv", "publish", "staged_resume", "listed_mosaic", "train_score", "train_boosted")
 
 
 def run(spark, name: str, sf_dir: str) -> float:
