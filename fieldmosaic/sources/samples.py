@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,18 +77,29 @@ _HIDDEN_HTML = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
 _ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def _numeric_references(text: Column) -> Column:
-    """``&#39;`` and ``&#x27;`` as the characters they stand for; others stay as they are."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+#: A reference to a character, by number or by name.
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: The names of HTML and what they stand for, from Python's own table.
+_NAMED = json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})
 
-    def put(done: Column, reference: Column) -> Column:
+
+def decode_references(text: Column) -> Column:
+    """A text with each ``&#39;``, ``&#x27;`` and ``&apos;`` as the character it stands for, read
+    once: what a reference turns into is no part of another one. Unknown names, numbers of no
+    character and names without a semicolon stay as they are."""
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def character(reference: Column) -> Column:
         digits = F.regexp_extract(reference, "[0-9a-fA-F]+", 0)
-        base = F.when(reference.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        base = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).when(reference.startswith("&#"), digits).cast("bigint")
         valid = (base > 0) & (base < 0x110000) & ~base.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(base), 8, "0")), "UTF-32")
-        return F.when(valid, F.replace(done, reference, F.when(valid, char))).otherwise(done)
+        return F.coalesce(F.when(valid, char), F.try_element_at(names, reference), reference)
 
-    return F.when(F.size(found) > 0, F.aggregate(found, text, put)).otherwise(text)
+    between = F.split(text, _REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), character)
+    parts = F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
 def list_links(
@@ -101,9 +114,7 @@ def list_links(
     visible = F.regexp_replace(F.col(html), _HIDDEN_HTML, "")
     others = [c for c in pages.columns if c != html]
     href = F.regexp_replace("href", "^[\"']|[\"']$", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
-        href = F.replace(href, F.lit(entity), F.lit(char))
-    href = F.replace(_numeric_references(href), F.lit("&amp;"), F.lit("&"))
+    href = decode_references(href)
     return (
         pages.select(*others, start.alias("_prefix"), F.posexplode(
             F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(1))

@@ -124,3 +124,17 @@ def test_links_of_a_long_page_are_whole(spark):
     html = "".join(f'<a href="tile_{i}.tif">t</a>\n' for i in range(20_000))
     pages = spark.createDataFrame([(html,)], "html string")
     assert samples.list_links(pages).select("url").distinct().count() == 20_000
+
+
+def test_references_of_all_names(spark):
+    """Every name of HTML, numbers, and what is none, as Python's own decoder reads them."""
+    from html import unescape
+    from html.entities import html5
+
+    texts = [f"a&{n}b&{n}" for n in html5 if n.endswith(";")]
+    texts += ["&#38;#39; &#39; &amp;amp;lt;", "&nosuch; & &; &#; &#x; a&b", "&#x1F600;&#233;x", "", "no reference", "&lt&gt;"[3:]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(df.select("i", samples.decode_references(F.col("t")).alias("d")).collect())
+    assert got == {i: unescape(t) for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([("&#0; &#xD800; &#9999999; &amp",), (None,)], "t string")
+    assert [r.d for r in odd.select(samples.decode_references(F.col("t")).alias("d")).collect()] == ["&#0; &#xD800; &#9999999; &amp", None]
