@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,8 @@ def sketches(texts: list[str]) -> list[Sketch]:
     for depth in range(LEVEL):
         names, first = parse(names, first)
         of = (np.cumsum(first) - 1).astype(np.uint64)
-        keys = np.unique((of << np.uint64(32)) | (_mix(names + np.uint64(depth + 1) * _A) >> np.uint64(32)))
+        shift = np.uint64((depth + 1) * int(_A) % (1 << 64))
+        keys = np.unique((of << np.uint64(32)) | (_mix(names + shift) >> np.uint64(32)))
         bounds = offsets_of(np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(filled)))
         values = keys.astype(np.uint32)
         out = [none] * len(texts)
@@ -137,6 +139,9 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "doc_id bigint, n_chars bigint, fingerprint string")
 
 
+#: Bytes of packed texts that are worked on at once: some times as many of text.
+PACKED_SLICE = 300_000
+_PACKED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary())])
 _RESULT = pa.schema(
     [
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
@@ -172,18 +177,19 @@ def _rows(rows: list[list]) -> pa.RecordBatch:
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """Every document beside the next one in descending ``doc_id`` (the first after the
-    last), ties by text, nulls last: the fingerprints of its text and its edited text, and
+    last), ties by a hash of the text, nulls last: the fingerprints of its text and its edited text, and
     how near they are.
 
-    Documents move once, by ranges of their ids. A task compares what follows each other in
+    Documents move once, by ranges of their ids, with their texts packed. A task compares what follows each other in
     its range and leaves the range's first and last document to a second step, which joins
     them over the ranges: two rows for each partition. One document is its own next one.
     """
 
     def within(batches):
         part, last, begun = TaskContext.get().partitionId(), None, False
-        for rows, texts in text_slices(batches):
-            ids = rows.column(0).to_pylist()
+        unpack = zstandard.ZstdDecompressor()
+        for rows, packed in text_slices(batches, "packed", PACKED_SLICE):
+            ids, texts = rows.column(0).to_pylist(), [unpack.decompress(p).decode() for p in packed]
             if not begun:
                 yield _rows([[ids[0], *[None] * 6, part, "head", texts[0]]])
                 begun = True
@@ -199,10 +205,17 @@ def neighbours(docs: DataFrame) -> DataFrame:
             for i, t, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 yield _rows(_compared([i], [t, b]))
 
+    def pack(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for rows, texts in text_slices(batches):
+            yield batch_of(_PACKED, [rows.column(0), rows.column(2), [packer.compress(t.encode()) for t in texts]])
+
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+        .select("doc_id", "text", F.xxhash64("text").alias("tie"))
+        .mapInArrow(pack, "doc_id bigint, tie bigint, packed binary")
         .repartitionByRange(partitions(docs.sparkSession), F.desc("doc_id"))
-        .sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
+        .sortWithinPartitions(F.desc("doc_id"), F.desc("tie"))
     )
     found = written(ordered.mapInArrow(within, _RESULT_DDL), "fingerprints")
     # one number per partition that has rows
