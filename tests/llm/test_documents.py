@@ -121,12 +121,13 @@ def test_distances_and_verdicts(spark, documents):
     rows.append((99, " ".join(f"{w.upper()}!!{i}$$$" for i, w in enumerate(["the", "of", "sun"] * 40))))
     docs = documents(rows)
     refs = quality_rules.references(docs)
+    shares = [r.classes for r in refs.collect()]
     got = {r.doc_id: r for r in quality_rules.judge(docs, refs).collect()}
     assert not got[99].kept and all(got[i].kept for i in range(40))
     counts = docs.select("doc_id", quality_rules.class_counts(F.col("text"), quality_rules.rest_of(F.col("text")), F.length(F.regexp_replace("text", r"\s", ""))).alias("c"))
     for r in counts.collect():
         p = np.array(r.c) / sum(r.c)
-        expected = min(jensen_shannon(p, np.array(q)) for q in refs.classes)
+        expected = min(jensen_shannon(p, np.array(q)) for q in shares)
         assert sum(r.c) == len(dict(rows)[r.doc_id]) and got[r.doc_id].class_distance == pytest.approx(expected, abs=1e-9)
 
 
@@ -136,6 +137,28 @@ def test_quality_of_nothing_and_without_languages(documents):
     assert {r.doc_id: r.kept for r in quality_rules.apply_rules(docs).collect()} == {1: True, 2: False}
 
 
+def test_every_language_has_its_reference(documents):
+    """Forty languages, each in letters and words of its own; rows without a language are
+    judged by their words, a broken row of the 18th language goes, and one of the smallest,
+    which has too little text to tell, stays."""
+    rows, langs = [], {}
+    for k in range(40):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(30)] if k % 2 else [f"{chr(97 + k % 26)}{chr(97 + i % 26)}{chr(97 + k // 26)}" for i in range(30)]
+        for j in range(45 - k):
+            drawn = np.random.default_rng(100 * k + j).integers(5, 30, 60)
+            text = " ".join(f"{letters[i % 5]} {letters[at]}" for i, at in enumerate(drawn))
+            rows.append((100 * k + j, text))
+            langs[100 * k + j] = None if j == 1 else f"l{k:02}"
+    broken = " ".join(f"{'ABC'[i % 3]}{i}!!" for i in range(120))
+    rows += [(5000, broken), (5001, broken)]
+    langs |= {5000: "l17", 5001: "l39"}
+    named = F.create_map(*[F.lit(x) for pair in langs.items() for x in pair])[F.col("doc_id").cast("int")]
+    docs = clashing(documents(rows).withColumn("lang", named))
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
+    assert len(got) == len(rows) and {d for d, r in got.items() if not r.kept} == {5000}
+    assert all((r.class_distance is not None and r.common_distance is not None) == (d < 2800) for d, r in got.items() if d < 5000)
+
+
 def dedup_by_hand(rows):
     lines = {doc: text.split("\n") for doc, text in rows if text is not None}
     seen, gone = set(), set()
