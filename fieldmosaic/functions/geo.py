@@ -21,6 +21,9 @@ GRS80_A, GRS80_F = 6378137.0, 1 / 298.257222101
 UTM_SCALE, UTM_FALSE_EASTING, UTM_SOUTH_NORTHING = 0.9996, 500000.0, 10000000.0
 LAEA_LAT0, LAEA_LON0 = math.radians(52.0), math.radians(10.0)
 LAEA_FALSE_EASTING, LAEA_FALSE_NORTHING = 4321000.0, 3210000.0
+GEOGRAPHIC_EPSG = "EPSG4326"
+#: Metres of a degree at most, that of latitude at a pole.
+DEGREE = math.radians(1) * WGS84_A / (1 - WGS84_F)
 
 def _krueger(flattening: float) -> dict[str, tuple[float, ...]]:
     """Krueger series of an ellipsoid, geographic -> grid (alpha), grid ->
@@ -111,13 +114,15 @@ def utm_code(epsg: Column) -> Column:
 
 
 def source_code(zone: Column) -> Column:
-    """Code of a zone that can be brought to the target: a UTM code, or the target's own.
+    """Code of a zone that can be brought to the target: a UTM code, that of geographic
+    degrees, or the target's own.
 
     Null for the unknown zone alone. Every other readable system stops the job, for
     leaving its tiles out would make a hole nobody hears of.
     """
     problem = F.raise_error(F.concat(F.lit("no way from this coordinate system: "), zone)).cast("int")
-    known = F.coalesce(utm_code(zone), F.when(zone == TARGET_EPSG, F.lit(int(TARGET_EPSG[4:]))), problem)
+    others = [F.when(zone == epsg, F.lit(int(epsg[4:]))) for epsg in (TARGET_EPSG, GEOGRAPHIC_EPSG)]
+    known = F.coalesce(utm_code(zone), *others, problem)
     return F.when(zone.isNotNull() & (zone != UNKNOWN_ZONE), known)
 
 
@@ -125,6 +130,10 @@ def is_target(code: Column) -> Column:
     return code == int(TARGET_EPSG[4:])
 
 
+def is_geographic(code: Column) -> Column:
+    return code == int(GEOGRAPHIC_EPSG[4:])
+
+
 def _of(code: Column, name: str) -> list[Column]:
     """Constants of the code's ellipsoid: GRS 80 for ETRS 89, else WGS 84."""
     return [F.when(code < 26000, F.lit(e)).otherwise(F.lit(w)) for e, w in zip(_GRS80[name], _WGS84[name])]
@@ -179,6 +188,28 @@ def geographic_to_utm(df: DataFrame, lat: str, lon: str, code: str, x: str, y: s
     return _steps(df, steps, x, y)
 
 
+def to_geographic(df: DataFrame, x: str, y: str, code: str, lat: str, lon: str) -> DataFrame:
+    """Add latitude and longitude (radians) of coordinates in the code's system: UTM, or
+    degrees with the longitude as ``x``."""
+    degrees = is_geographic(F.col(code))
+    return utm_to_geographic(df, x, y, code, "_utm_lat", "_utm_lon").select(
+        *df.columns,
+        F.when(degrees, F.radians(y)).otherwise(F.col("_utm_lat")).alias(lat),
+        F.when(degrees, F.radians(x)).otherwise(F.col("_utm_lon")).alias(lon),
+    )
+
+
+def from_geographic(df: DataFrame, lat: str, lon: str, code: str, x: str, y: str) -> DataFrame:
+    """Add coordinates in the code's system; longitudes lie from -180 to below 180 degrees."""
+    degrees, east = is_geographic(F.col(code)), F.degrees(lon)
+    wrapped = F.when(east >= 180, east - 360).when(east < -180, east + 360).otherwise(east)
+    return geographic_to_utm(df, lat, lon, code, "_utm_x", "_utm_y").select(
+        *df.columns,
+        F.when(degrees, wrapped).otherwise(F.col("_utm_x")).alias(x),
+        F.when(degrees, F.degrees(lat)).otherwise(F.col("_utm_y")).alias(y),
+    )
+
+
 def geographic_to_laea(df: DataFrame, lat: str, lon: str, x: str, y: str) -> DataFrame:
     """Add EPSG:3035 coordinates of latitude and longitude (radians)."""
     c = F.col

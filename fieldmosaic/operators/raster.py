@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmosaic.functions.geo import (
+    DEGREE,
     LAEA_FALSE_EASTING,
     LAEA_FALSE_NORTHING,
     LAEA_RADIUS,
+    from_geographic,
     geographic_to_laea,
-    geographic_to_utm,
+    is_geographic,
     is_target,
     laea_to_geographic,
     source_code,
-    utm_to_geographic,
+    to_geographic,
 )
 from fieldmosaic.session import broadcast_if_small
 
@@ -50,14 +52,15 @@ def mosaic_pixels(
 
 
 def reproject(points: DataFrame, x: str = "x", y: str = "y", zone: str = "zone") -> DataFrame:
-    """Add EPSG:3035 coordinates ``tx, ty`` to points of UTM zones.
+    """Add EPSG:3035 coordinates ``tx, ty`` to points of UTM zones and to points in
+    geographic degrees (EPSG:4326, longitude first).
 
     The zone parameters follow from the code, so this is a map over columns. Points
     that are in EPSG:3035 keep their coordinates, points of the unknown zone get nulls,
     and those of any other system stop the job.
     """
     keep = points.columns
-    located = utm_to_geographic(
+    located = to_geographic(
         points.withColumn("_code", source_code(F.col(zone))), x, y, "_code", "_lat", "_lon"
     )
     same = is_target(F.col("_code"))
@@ -102,7 +105,8 @@ def warp_zones(pixels: DataFrame, source_resolution: float, target_resolution: f
     whose centre, projected back, lies in it. That is a map: no shuffle, and no
     cell is produced twice within a zone. How far a source cell may reach follows
     from the largest scale of the target projection there, the secant of half the
-    angle to its centre, with 5 percent to spare.
+    angle to its centre, with 5 percent to spare. The source resolution is in the units
+    of the zone, so geographic zones are warped by a call of their own, in degrees.
     """
     c = F.col
     r, t = float(source_resolution), float(target_resolution)
@@ -111,8 +115,9 @@ def warp_zones(pixels: DataFrame, source_resolution: float, target_resolution: f
         ((c("px") + 0.5) * r).alias("x"), ((c("py") + 0.5) * r).alias("y"),
     )
     away = F.hypot(c("tx") - LAEA_FALSE_EASTING, c("ty") - LAEA_FALSE_NORTHING) / (2 * LAEA_RADIUS)
+    metres = F.when(is_geographic(source_code(c("zone"))), F.lit(r * DEGREE)).otherwise(F.lit(r))
     moved = reproject(centres).withColumn(
-        "_reach", r * math.sqrt(0.5) * 1.05 / F.sqrt(1 - away * away)
+        "_reach", metres * math.sqrt(0.5) * 1.05 / F.sqrt(1 - away * away)
     )
 
     def cells_near(at: str):
@@ -128,7 +133,7 @@ def warp_zones(pixels: DataFrame, source_resolution: float, target_resolution: f
             {"_tx": (c("cx") + 0.5) * t, "_ty": (c("cy") + 0.5) * t, "_code": source_code(c("zone"))}
         )
     )
-    back = geographic_to_utm(
+    back = from_geographic(
         laea_to_geographic(near, "_tx", "_ty", "_lat", "_lon"), "_lat", "_lon", "_code", "_x", "_y"
     )
     same = is_target(c("_code"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmosaic.functions.geo import geographic_to_laea, is_target, source_code, utm_to_geographic
+from fieldmosaic.functions.geo import geographic_to_laea, is_target, source_code, to_geographic
 from fieldmosaic.functions.naming import UNKNOWN_ZONE, zone_of
 from fieldmosaic.operators.raster import mosaic_pixels
 
@@ -66,7 +66,7 @@ def reproject_extents(boxes: DataFrame) -> DataFrame:
     keep = [c for c in boxes.columns if c != "_code"]
     out = boxes
     for i, (x, y) in enumerate((x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax")):
-        out = utm_to_geographic(out, x, y, "_code", f"_lat{i}", f"_lon{i}")
+        out = to_geographic(out, x, y, "_code", f"_lat{i}", f"_lon{i}")
         out = geographic_to_laea(out, f"_lat{i}", f"_lon{i}", f"_x{i}", f"_y{i}")
     corners = range(4)
     moved = {

@@ -517,6 +517,17 @@ def statements() -> dict[str, str]:
     )
     s["mosaic_pixels"] = _with(*PIXELS, then="SELECT * FROM mosaic")
     s["reproject"] = _with(*MOVED, then="SELECT zone, px, py, round(tx, 3) AS tx, round(ty, 3) AS ty FROM moved")
+    projected = [step for step in MOVED[len(PIXELS):] if step[0] not in ("centres", "g1", "g2", "g3", "g4")]
+    s["reproject_geographic"] = _with(
+        *PIXELS,
+        (
+            "g4",
+            "SELECT zone, 0 AS x, 0 AS y, px, py, value, radians(((py % 3500 + 3500) % 3500) / 100.0::DOUBLE + 35) AS lat, "
+            "radians(((px % 4000 + 4000) % 4000) / 100.0::DOUBLE - 10) AS lon FROM mosaic",
+        ),
+        *projected,
+        then="SELECT zone, px, py, round(tx, 3) AS tx, round(ty, 3) AS ty FROM moved",
+    )
     s["regrid"] = _with(*REGRID, then="SELECT * FROM regridded")
     s["warp_systems"] = _with(
         ("raw", fixtures.derive_sql("events", *fixtures.MIXED_PIXELS)),

@@ -599,6 +599,22 @@ def reproject(spark, sf):
     )
 
 
+@query
+def reproject_geographic(spark, sf):
+    """Points in degrees, from the cells of the zone mosaics."""
+    cells = raster.mosaic_pixels(_zone_pixels(spark, sf))
+    degrees = cells.withColumns(
+        {
+            "x": F.pmod("px", F.lit(4000)) / F.lit(100.0) - 10,
+            "y": F.pmod("py", F.lit(3500)) / F.lit(100.0) + 35,
+            "epsg": F.lit("EPSG4326"),
+        }
+    )
+    return raster.reproject(degrees, zone="epsg").select(
+        "zone", "px", "py", F.round("tx", 3).alias("tx"), F.round("ty", 3).alias("ty")
+    )
+
+
 @query
 def regrid(spark, sf):
     return raster.regrid_nearest(_reprojected(spark, sf), PIXEL_SIZE)

@@ -94,6 +94,30 @@ def test_a_system_without_a_way_stops_the_job(spark, zone):
         raster.reproject(points).collect()
 
 
+def test_points_in_degrees(spark):
+    """The published worked example of the target system."""
+    df = spark.createDataFrame([("EPSG4326", 5.0, 50.0), ("EPSG4326", 10.0, 52.0)], "zone string, x double, y double")
+    got = [(r.tx, r.ty) for r in raster.reproject(df).orderBy("x").collect()]
+    assert got[0] == pytest.approx((3962799.451, 2999718.853), abs=1e-3)
+    assert got[1] == pytest.approx((4321000, 3210000), abs=1e-6)
+
+
+def test_warp_of_degrees_leaves_no_hole(spark):
+    """Every target cell whose centre lies in the source holds the source cell there."""
+    r, t = 0.02, 700.0
+    cells = [("EPSG4326", px, py, float(px * 1000 + py)) for px in range(250, 270) for py in range(2500, 2520)]
+    df = spark.createDataFrame(cells, "zone string, px long, py long, value double")
+    got = {(x.cx, x.cy): x.value for x in raster.warp_zones(df, r, t).collect()}
+    grid = spark.range(5600, 5740).selectExpr("id AS cx").crossJoin(spark.range(4270, 4370).selectExpr("id AS cy"))
+    centres = grid.withColumns({"tx": (F.col("cx") + 0.5) * t, "ty": (F.col("cy") + 0.5) * t})
+    expected = {}
+    for x in geo.laea_to_geographic(centres, "tx", "ty", "lat", "lon").collect():
+        px, py = math.floor(math.degrees(x.lon) / r), math.floor(math.degrees(x.lat) / r)
+        if 250 <= px < 270 and 2500 <= py < 2520:
+            expected[x.cx, x.cy] = float(px * 1000 + py)
+    assert len(expected) > 2000 and got == expected
+
+
 def test_ties_go_by_the_whole_cell_number(spark):
     rows = [("EPSG32631", 4096, 1, 6.0, 60.0, 50.0), ("EPSG32631", 4095, 1, 5.0, 40.0, 50.0)]
     schema = "zone string, px long, py long, value double, tx double, ty double"
