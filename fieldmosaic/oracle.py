@@ -558,6 +558,34 @@ def statements() -> dict[str, str]:
         then=_pyramid((32, 64, 128), "arg_min(value, py * 1000000 + px)"),
     )
     s["overview_average"] = _with(*GRID, then=_pyramid((32, 48, 128), "sum(round(value * 100)::BIGINT)::DOUBLE / count(*)"))
+    strips = ("strips", "SELECT zone, px, py, value, floor(seq / 2400)::BIGINT AS seq FROM pixels WHERE value IS NOT NULL")
+    merged = (
+        "merged",
+        "SELECT zone, px, py, value, seq FROM strips "
+        "QUALIFY row_number() OVER (PARTITION BY zone, px, py ORDER BY seq DESC, value DESC) = 1",
+    )
+    s["mosaic_blocks"] = _with(*PIXELS[:2], strips, merged, then="SELECT * FROM merged")
+    s["block_sizes"] = _with(
+        *PIXELS[:2],
+        strips,
+        then="SELECT zone, floor(px / 32)::BIGINT AS bx, floor(py / 32)::BIGINT AS by, seq, "
+        "count(DISTINCT (px, py)) AS n_cells, max(value) AS highest FROM strips GROUP BY 1, 2, 3, 4",
+    )
+    s["block_overviews"] = s["overview_pyramid"]
+    s["block_averages"] = _with(*GRID, then=_pyramid((16, 32, 128), "sum(round(value * 100)::BIGINT)::DOUBLE / count(*)"))
+    s["patched_blocks"] = _with(
+        *PIXELS[:2],
+        strips,
+        merged,
+        _STACK,
+        (
+            "remade",
+            "SELECT zone, px, py, CASE WHEN zone = 'EPSG32631' THEN value + 1 ELSE value END AS value FROM merged "
+            "WHERE zone <> 'EPSG32631' OR floor(py / 16) % 2 = 0",
+        ),
+        then="SELECT px, py, value, zone_seq AS seq FROM remade JOIN stack USING (zone) "
+        "QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY zone_seq DESC) = 1",
+    )
     s["publish"] = _with(
         *PIXELS,
         then="SELECT zone, px, py, CASE WHEN zone = 'EPSG32630' THEN value + 1 ELSE value END AS value, seq FROM mosaic",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldmosaic import fixtures
 from fieldmosaic.functions import codes, naming
-from fieldmosaic.operators import clean, labels, learn, metrics, raster, splits, tiles, weights
+from fieldmosaic.operators import blocks, clean, labels, learn, metrics, raster, splits, tiles, weights
 from fieldmosaic.operators import pools as quantised
 from fieldmosaic.plans import scenarios, selection, stages
 from fieldmosaic.session import new_path, tune
@@ -657,6 +657,57 @@ def _single_grid(spark, sf) -> DataFrame:
     return raster.mosaic_pixels(fixtures.pixels(spark, sf), keys=("px", "py"))
 
 
+# Block rasters.
+
+
+def _strips(spark, sf) -> DataFrame:
+    """Zone pixels of sources that hold 2,400 pixels each, some cells of them twice."""
+    return _zone_pixels(spark, sf).withColumn("seq", F.floor(F.col("seq") / 2400))
+
+
+@query
+def mosaic_blocks(spark, sf):
+    merged = blocks.merge_blocks(blocks.to_blocks(_strips(spark, sf), side=32))
+    return blocks.from_blocks(merged, side=32)
+
+
+@query
+def block_sizes(spark, sf):
+    """Cells with data in each block of each source."""
+    table = blocks.to_blocks(_strips(spark, sf), side=32)
+    cells = F.filter("values", lambda v: v.isNotNull())
+    return table.select("zone", "bx", "by", "seq", F.size(cells).cast("bigint").alias("n_cells"), F.array_max(cells).alias("highest"))
+
+
+def _grid_blocks(grid: DataFrame) -> DataFrame:
+    return blocks.to_blocks(grid.withColumn("seq", F.lit(0)), ())
+
+
+@query
+def block_overviews(spark, sf):
+    return blocks.block_overviews(_grid_blocks(_single_grid(spark, sf)))
+
+
+@query
+def block_averages(spark, sf):
+    """Means of whole hundredths, which are exact up to one division."""
+    hundredths = F.round(F.col("value") * 100).cast("bigint")
+    grid = _single_grid(spark, sf).withColumn("value", hundredths)
+    return blocks.block_overviews(_grid_blocks(grid), (16, 32, 128), "average")
+
+
+@query
+def patched_blocks(spark, sf):
+    """A combined mosaic after one zone was made anew with other values and fewer cells."""
+    place = blocks.merge_blocks(blocks.to_blocks(_strips(spark, sf), side=16)).drop("seqs")
+    order = tiles.zone_mosaic(fixtures.tiles(spark, sf)).select("zone", F.col("first_seq").alias("zone_seq"))
+    mosaic = blocks.combine_blocks(place, order)
+    old, others = place.filter("zone = 'EPSG32631'"), place.filter("zone <> 'EPSG32631'")
+    anew = old.filter("by % 2 = 0").withColumn("values", F.transform("values", lambda v: v + 1))
+    patched = blocks.patch_blocks(mosaic, others.unionByName(anew), order, blocks.touched_blocks(old, anew))
+    return blocks.from_blocks(patched, (), side=16)
+
+
 # Publishing and stages.
 
 
