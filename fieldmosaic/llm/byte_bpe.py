@@ -10,8 +10,12 @@ library has it. Decoding joins ids with the tokens' bytes and strings them toget
 order.
 
 One step contracts one pair of a word, so a word of n bytes takes up to n steps of up to n
-rows, which a recursion keeps. Words over ``LONG`` bytes, rare in any language, are contracted by a heap of pairs
-instead, in the same order.
+rows, which that recursion keeps. Words over ``LONG`` bytes take a second recursive query, which keeps
+a row per place under its key and not one per step. A step of it contracts all pairs of a
+word's least rank, every other one of a chain of overlapping ones, where no merge with the new token
+has a lesser rank, and the leftmost alone where one has; both are what single steps come to.
+Words over ``LONGEST`` bytes, which no language has, are contracted by a heap of pairs in
+the same order, for their steps times places would be too many.
 
 A null text is an empty one and has no ids. Every row stands for itself, so ties and
 repeated rows have no effect; extra columns are left out.
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 from fieldmosaic.llm.common import batch_of, int_lists, text_slices, whole_text
 from fieldmosaic.llm.tokens import RunTable
 
+#: Bytes up to which a word takes the first query, and up to which the second.
 LONG = 100
+LONGEST = 1_000
 #: Bytes of words that one recursive query encodes.
 BLOCK = 150_000
 
@@ -51,6 +57,24 @@ WITH RECURSIVE token(word, place, id, step) AS (
 last AS (SELECT word, max(step) AS step FROM token GROUP BY word)
 SELECT word, list(id ORDER BY place) AS ids FROM token JOIN last USING (word, step) GROUP BY word
 """
+ENCODE_LONG = """
+WITH RECURSIVE token(word, place, id) USING KEY (word, place) AS (
+  SELECT word, place, id FROM bytes
+  UNION
+  (WITH pair AS (
+     SELECT word, place, id, lead(id) OVER w AS right_id, lead(place) OVER w AS right_place
+     FROM recurring.token WHERE id >= 0 WINDOW w AS (PARTITION BY word ORDER BY place)),
+   ranked AS (
+     SELECT p.word, p.place, p.right_place, m.rank, m.alone FROM pair p JOIN merge m ON m.left_id = p.id AND m.right_id = p.right_id),
+   least AS (
+     SELECT r.*, lag(right_place) OVER w IS NOT DISTINCT FROM place AS chained, row_number() OVER w AS nth
+     FROM ranked r JOIN (SELECT word, min(rank) AS rank FROM ranked GROUP BY word) USING (word, rank)
+     WINDOW w AS (PARTITION BY word ORDER BY place)),
+   chain AS (SELECT *, max(CASE WHEN chained THEN 0 ELSE nth END) OVER (PARTITION BY word ORDER BY place) AS head FROM least),
+   chosen AS (SELECT * FROM chain WHERE nth = 1 OR (NOT alone AND (nth - head) % 2 = 0))
+   SELECT word, place, rank::INTEGER FROM chosen UNION ALL SELECT word, right_place, -1 FROM chosen))
+SELECT word, list(id ORDER BY place) AS ids FROM token WHERE id >= 0 GROUP BY word
+"""
 DECODE = """
 SELECT word, string_agg(t.bytes, '' ORDER BY place) AS bytes
 FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM encoded) e JOIN token_bytes t USING (id)
@@ -81,7 +105,12 @@ class BpeTable(RunTable):
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.db.register("merge_rows", merge)
         self.db.register("token_rows", named)
-        self.db.execute("CREATE TABLE merge AS SELECT left_id::INTEGER AS left_id, right_id::INTEGER AS right_id, rank FROM merge_rows")
+        # alone: a merge with this one's token has a lesser rank and would come next
+        self.db.execute(
+            "CREATE TABLE merge AS SELECT left_id::INTEGER AS left_id, right_id::INTEGER AS right_id, rank, "
+            "EXISTS (SELECT 1 FROM merge_rows o WHERE o.left_id = m.rank AND o.rank < m.rank) "
+            "OR EXISTS (SELECT 1 FROM merge_rows o WHERE o.right_id = m.rank AND o.rank < m.rank) AS alone FROM merge_rows m"
+        )
         self.db.execute("CREATE TABLE token_bytes AS SELECT id::INTEGER AS id, bytes FROM token_rows")
 
     def _clear(self) -> None:
@@ -89,7 +118,7 @@ class BpeTable(RunTable):
         self.decoded.clear()
 
     def _contract(self, word: bytes) -> list[int]:
-        """Least rank first, leftmost of equals, by a heap; for long words."""
+        """Least rank first, leftmost of equals, by a heap; for the longest words."""
         tokens = [word[i : i + 1] for i in range(len(word))]
         after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         heap: list[tuple[int, int, bytes, bytes]] = []
@@ -118,9 +147,16 @@ class BpeTable(RunTable):
         words = [w.encode() for w in runs]
         ids = [None if (rank := self.ranks.get(w)) is None else [rank] for w in words]
         for i, w in enumerate(words):
-            if ids[i] is None and len(w) > LONG:
+            if ids[i] is None and len(w) > LONGEST:
                 ids[i] = self._contract(w)
         rest = [i for i, x in enumerate(ids) if x is None]
+        self._query(ENCODE, words, [i for i in rest if len(words[i]) <= LONG], ids)
+        self._query(ENCODE_LONG, words, [i for i in rest if len(words[i]) > LONG], ids)
+        self._decode(ids)
+        return ids
+
+    def _query(self, sql: str, words: list[bytes], rest: list[int], ids: list) -> None:
+        """The ids of some of the words, by a recursive query for each block of them."""
         ends = np.cumsum([len(words[i]) for i in rest])
         low = 0
         while low < len(rest):
@@ -135,12 +171,10 @@ class BpeTable(RunTable):
                 "id": of_byte[letters],
             }
             self.db.register("bytes", pa.table(rows))
-            for i, found in self.db.sql(ENCODE).fetchall():
+            for i, found in self.db.sql(sql).fetchall():
                 ids[i] = found
             self.db.unregister("bytes")
             low = high
-        self._decode(ids)
-        return ids
 
     def _decode(self, ids: list[list[int]]) -> None:
         low = len(self.decoded)

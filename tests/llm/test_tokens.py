@@ -184,3 +184,45 @@ def test_byte_bpe_query_columns(documents, tiktoken_own):
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     rows = byte_bpe.encode(documents([(1, "hello there")]), RANKS, public_tokenizers.PATTERN).collect()
     assert rows[0].ids == tiktoken_own.encode_ordinary("hello there") and bytes(rows[0].decoded) == b"hello there"
+
+
+def test_long_words_go_through_the_recursive_query(tiktoken_own, monkeypatch):
+    """Words over a hundred bytes, as 40 Chinese characters in a row, take no other route."""
+    draw = random.Random(5)
+    words = ["漢字仮名交文章中国日本" * 4, "a" * 999, "ab" * 333 + "a", "é" * 301, "the" * 200, "!" * 400 + "=" * 501, "q" * 101]
+    words += ["".join(draw.choice("etaoinshrdlu") for _ in range(n)) for n in (101, 500, 999)]
+    words += ["".join(draw.choice("ab") for _ in range(n)) for n in (150, 700)]
+
+    def never(word):
+        raise AssertionError(f"{len(word)} bytes left the query")
+
+    table = byte_bpe.BpeTable(RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(table, "_contract", never)
+    assert all(byte_bpe.LONG < len(w.encode()) <= byte_bpe.LONGEST for w in words)
+    ids, counts, back = table.encode([" ".join(words), *words, ""])
+    texts = [" ".join(words), *words, ""]
+    assert [b.decode() for b in back] == texts
+    ends = np.cumsum(counts)
+    for text, n, end in zip(texts, counts, ends, strict=True):
+        assert ids[end - n : end].tolist() == tiktoken_own.encode_ordinary(text)
+
+
+def test_the_longest_words_equal_the_library(tiktoken_own):
+    draw = random.Random(6)
+    words = ["".join(draw.choice("etaoinshrdlu") for _ in range(n)) for n in (1001, 20_000)] + ["aab" * 5000]
+    ids, counts, _ = byte_bpe.BpeTable(RANKS, public_tokenizers.PATTERN).encode(words)
+    assert ids.tolist() == [i for w in words for i in tiktoken_own.encode_ordinary(w)]
+    assert len(counts) == 3
+
+
+def test_both_queries_contract_alike():
+    """The first query, one pair a step, and the second on the same words."""
+    draw = random.Random(7)
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 60))).encode() for letters in ("ab", "the n", "inga") for _ in range(150)]
+    table = byte_bpe.BpeTable(RANKS, public_tokenizers.PATTERN)
+    found = []
+    for sql in (byte_bpe.ENCODE, byte_bpe.ENCODE_LONG):
+        ids = [None] * len(words)
+        table._query(sql, words, list(range(len(words))), ids)
+        found.append(ids)
+    assert found[0] == found[1] == [table._contract(w) for w in words]
