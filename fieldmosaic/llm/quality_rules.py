@@ -122,24 +122,19 @@ def class_counts(text: Column, rest: Column, word_chars: Column) -> Column:
 
 
 def common_counts(listed: Column, common: Column) -> Column:
-    """Times that a text has each of the common words, and its other words. Common words
-    are picked out once and counted by the length that their removal takes away."""
+    """Times that a text has each of the common words, and its other words. The words stand
+    between two blanks each, so a word is counted by the length that its removal takes away."""
 
-    def counts(both: Column) -> Column:
-        spaced = F.concat(F.lit(" "), F.array_join(both.picked, "  "), F.lit(" "))
-        return let(
-            F.struct(spaced.alias("s"), F.octet_length(spaced).alias("n")),
-            lambda x: F.concat(
-                F.transform(
-                    both.common,
-                    lambda w: ((x.n - F.octet_length(F.replace(x.s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("int"),
-                ),
-                F.array(both.size - F.size(both.picked)),
-            ),
+    def counts(x: Column) -> Column:
+        found = F.transform(
+            x.common,
+            lambda w: ((x.n - F.octet_length(F.replace(x.s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("int"),
         )
+        return let(found, lambda f: F.concat(f, F.array(x.size - F.aggregate(f, F.lit(0), lambda a, b: a + b))))
 
-    picked = F.filter(listed, lambda w: F.array_contains(common, w))
-    return let(F.struct(picked.alias("picked"), common.alias("common"), F.size(listed).alias("size")), counts)
+    spaced = F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" "))
+    own = F.struct(spaced.alias("s"), common.alias("common"), F.size(listed).alias("size"))
+    return let(own, lambda y: let(F.struct(y.s.alias("s"), F.octet_length(y.s).alias("n"), y.common.alias("common"), y.size.alias("size")), counts))
 
 
 def common_words(known: DataFrame) -> DataFrame:
