@@ -87,13 +87,14 @@ def skip_existing(
     return wanted if overwrite else wanted.join(existing.select(name), name, "left_anti")
 
 
-def _placed_boxes(boxes: DataFrame, cell: float, levels: list[int] | None, carry: list[str], as_: str) -> DataFrame:
+def _placed_boxes(boxes: DataFrame, cell: float, levels: list[int] | None, carry: list[str], as_: str, finer: int = 0) -> DataFrame:
     """Boxes in the cells that they touch, on their own level and on each coarser one in use.
 
     A cell of level n is 2 ** n cells wide; a box's own level is the least whose cells are as
-    wide as the box, so it touches four cells of a level at most."""
+    wide as the box, so it touches four cells of a level at most. With ``finer`` it is so many
+    levels lower, and a box touches (2 ** finer + 1) ** 2 cells at most."""
     width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    own = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(width, F.lit(cell)) / F.lit(cell)))).cast("int")
+    own = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(width, F.lit(cell)) / F.lit(cell))) - finer).cast("int")
     kept = boxes.select("zone", *carry, *(F.col(c).cast("double").alias(f"{as_}_{c}") for c in _BOX), own.alias(f"{as_}_own"))
     if levels is None:
         return kept
@@ -106,6 +107,7 @@ def _placed_boxes(boxes: DataFrame, cell: float, levels: list[int] | None, carry
 
 
 _BOX = ("xmin", "ymin", "xmax", "ymax")
+_MEETING = ["zone", "level", "cell_x", "cell_y"]
 
 
 def overlaps(sources: DataFrame, windows: DataFrame, cell: float, keep: tuple[str, ...] = ("seq",), name: str = "window") -> DataFrame:
@@ -114,29 +116,42 @@ def overlaps(sources: DataFrame, windows: DataFrame, cell: float, keep: tuple[st
 
     Both sides have ``zone, xmin, ymin, xmax, ymax``. Boxes meet in the cells of a grid, on the
     coarser one of their levels, so no pair of boxes in different places is ever formed, and a
-    large box is in few cells. A pair counts in the cell that holds the lower left corner of
-    what both share. Cells with very many boxes are keys of an inner join, which adaptive
-    execution splits. A box with a missing or reversed side overlaps nothing.
+    large box is in few cells. Windows meet in cells of an eighth of their width, so that few
+    sources beside a window are held against it. A pair counts in the cell that holds the lower
+    left corner of what both share. Cells with very many boxes are keys of an inner join, which
+    adaptive execution splits. A box with a missing or reversed side overlaps nothing.
     """
+    return _pairs(*_sides(sources, windows, cell, keep, name), cell, keep, name)
+
+
+def _sides(sources: DataFrame, windows: DataFrame, cell: float, keep: tuple[str, ...], name: str, small: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sources and windows in the cells where they meet; ``small`` says that no source is wider
+    than a cell."""
     good = F.expr("xmin <= xmax AND ymin <= ymax")
     sources, windows = sources.where(good), windows.where(good)
-    used = [_placed_boxes(b, cell, None, [], "b").select(F.col("b_own").alias("own")).distinct() for b in (sources, windows)]
-    levels = sorted({r["own"] for r in used[0].union(used[1]).distinct().limit(MAX_LEVELS + 1).collect()})
+    used = _placed_boxes(windows, cell, None, [], "b", WINDOW_FINER).select("b_own").distinct()
+    if not small:
+        used = used.union(_placed_boxes(sources, cell, None, [], "b").select("b_own").distinct()).distinct()
+    levels = {r["b_own"] for r in used.limit(MAX_LEVELS + 1).collect()}
     if len(levels) > MAX_LEVELS:
         raise ValueError("boxes are too unlike in size")
-    if not levels:
-        levels = [0]
-    a = _placed_boxes(sources, cell, levels, list(keep), "s")
-    b = _placed_boxes(windows, cell, levels, [name], "w")
+    levels = sorted(levels | {0} if small or not levels else levels)
+    return _placed_boxes(sources, cell, levels, list(keep), "s"), _placed_boxes(windows, cell, levels, [name], "w", WINDOW_FINER)
+
+
+def _pairs(a: DataFrame, b: DataFrame, cell: float, keep: tuple[str, ...], name: str) -> DataFrame:
+    """Pairs of boxes that overlap, of the two ``_sides``."""
     wide = F.lit(float(cell)) * F.pow(F.lit(2.0), "level")
     corner = [F.floor(F.greatest(f"s_{c}min", f"w_{c}min") / wide) == F.col(f"cell_{c}") for c in "xy"]
     meet = F.expr("s_xmin < w_xmax AND s_xmax > w_xmin AND s_ymin < w_ymax AND s_ymax > w_ymin")
-    joined = a.join(b, ["zone", "level", "cell_x", "cell_y"]).where((F.col("level") == F.greatest("s_own", "w_own")) & corner[0] & corner[1] & meet)
+    joined = a.join(b, _MEETING).where((F.col("level") == F.greatest("s_own", "w_own")) & corner[0] & corner[1] & meet)
     return joined.select(name, "zone", *keep)
 
 
 #: Different levels of boxes at most, each twice as wide as the one before.
 MAX_LEVELS = 64
+#: Levels that windows meet sources below the one as wide as they are.
+WINDOW_FINER = 3
 
 
 def window_pixels(pixels: DataFrame, windows: DataFrame, size: float, name: str = "window") -> DataFrame:

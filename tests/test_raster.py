@@ -320,3 +320,15 @@ def test_overlaps_of_boxes_of_all_sizes(spark):
     plan = tiles.overlaps(sources, windows, 16.0)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert tiles.overlaps(sources.limit(0), windows.limit(0), 1.0).count() == 0
+
+
+def test_few_sources_beside_a_window_are_held_against_it(spark):
+    """Small sources all over a zone: the pairs tried are at most three times those that overlap."""
+    sources = spark.range(40_000).selectExpr(
+        "id AS seq", "'z' AS zone", "id % 200 + 0.2 AS xmin", "floor(id / 200) + 0.2 AS ymin", "id % 200 + 0.8 AS xmax", "floor(id / 200) + 0.8 AS ymax"
+    )
+    windows = spark.createDataFrame(
+        [(w, "z", 10.0 * w, 70.0, 10.0 * w + 66, 136.0) for w in range(12)], "window int, zone string, xmin double, ymin double, xmax double, ymax double"
+    )
+    a, b = tiles._sides(sources, windows, 4.0, ("seq",), "window")
+    assert a.join(b, tiles._MEETING).count() <= 3 * tiles.overlaps(sources, windows, 4.0).count()
