@@ -157,8 +157,10 @@ WINDOW_FINER = 3
 def window_pixels(pixels: DataFrame, windows: DataFrame, size: float, name: str = "window") -> DataFrame:
     """``name, zone, px, py, value, seq``: the mosaic of each window, from the pixels of zones
     (``zone, px, py, value, seq``, ``size`` wide) that it overlaps; the last source with data
-    gives the value."""
+    gives the value. Sources are merged first, so a window meets a cell once, however many
+    sources cover it; windows of one name and zone share their cells."""
     edges = {"xmin": F.col("px"), "ymin": F.col("py"), "xmax": F.col("px") + 1, "ymax": F.col("py") + 1}
-    boxes = pixels.where("value IS NOT NULL").withColumns({k: v * F.lit(float(size)) for k, v in edges.items()})
-    found = overlaps(boxes, windows, 8 * size, ("px", "py", "value", "seq"), name)
-    return mosaic_pixels(found, keys=(name, "zone", "px", "py"))
+    boxes = mosaic_pixels(pixels).withColumns({k: v * F.lit(float(size)) for k, v in edges.items()})
+    keep = ("px", "py", "value", "seq")
+    found = _pairs(*_sides(boxes, windows, 8 * size, keep, name, small=True), 8 * size, keep, name)
+    return found.dropDuplicates([name, "zone", "px", "py"])

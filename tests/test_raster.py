@@ -332,3 +332,24 @@ def test_few_sources_beside_a_window_are_held_against_it(spark):
     )
     a, b = tiles._sides(sources, windows, 4.0, ("seq",), "window")
     assert a.join(b, tiles._MEETING).count() <= 3 * tiles.overlaps(sources, windows, 4.0).count()
+
+
+def test_window_pixels_merge_sources_first(spark):
+    """A window meets a cell once, however many sources cover it; repeated windows, those of one
+    name in two boxes and sources without data change nothing."""
+    pixels = spark.range(6000).selectExpr(
+        "id AS seq", "'z' AS zone", "id % 5 AS px", "floor(id / 5) % 4 AS py", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id AS DOUBLE) END AS value"
+    )
+    boxes = [(1, "z", 0.0, 0.0, 30.0, 20.0), (1, "z", 0.0, 0.0, 30.0, 20.0), (1, "z", 20.0, 10.0, 50.0, 40.0), (None, "z", 0.0, 0.0, 10.0, 10.0), (3, "y", 0.0, 0.0, 50.0, 40.0)]
+    windows = spark.createDataFrame(boxes, "window int, zone string, xmin double, ymin double, xmax double, ymax double")
+    found = tiles.window_pixels(pixels, windows, 10.0)
+    last = {}
+    for i in range(6000):
+        if i % 7:
+            last[i % 5, i // 5 % 4] = i
+    cells = {(w, *c) for w, z, *e in boxes if z == "z" for c in last if c[0] * 10 < e[2] and c[0] * 10 + 10 > e[0] and c[1] * 10 < e[3] and c[1] * 10 + 10 > e[1]}
+    expected = [(w, x, y, float(last[x, y]), last[x, y]) for w, x, y in cells]
+    by = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(((r.window, r.px, r.py, r.value, r.seq) for r in found.collect()), key=by) == sorted(expected, key=by)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("max_by")
