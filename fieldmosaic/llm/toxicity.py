@@ -145,6 +145,13 @@ def _seen(run: str) -> str:
     return run.translate(_FOREIGN) if _LATIN.search(run) else run
 
 
+@lru_cache(maxsize=100_000)
+def _single(run: str) -> str:
+    """The one character that a run of at most three is without what surrounds it, or nothing."""
+    shown = run if len(run) == 1 else _seen(run).rstrip(_PLAIN_EDGE)
+    return shown if len(shown) == 1 else ""
+
+
 def _family(text: str) -> int:
     """What near copies mostly share: the least hash of their runs of three words. Documents
     that are no near copies have few such runs in common and hardly ever the least one."""
@@ -210,6 +217,14 @@ class Decoder:
 
     def in_run(self, run: str) -> list[str]:
         """The words of a lower-case run without white space, and those it may stand for."""
+        core = run.strip(_PLAIN_EDGE)
+        if core.isascii() and core.isalpha():  # most runs: a word with punctuation around it
+            found = [core]
+            if len(core) >= 3 and _DOUBLE.search(core):
+                if _TRIPLE.search(core):
+                    found.append(self.decode(core, False))
+                found.append(_DOUBLE.sub(r"\1", core))
+            return found
         found = WORD.findall(run)
         run = _seen(run)
         for core in _cores(run):
@@ -229,15 +244,14 @@ class Decoder:
         """Words written as three or more single characters. Such a row is also read
         without its first or last character, which may be a word of its own, and as
         several words."""
-        runs = [r if len(r) == 1 else _seen(r).rstrip(_PLAIN_EDGE) if len(r) <= 3 else "" for r in runs]
-        at = [i for i, r in enumerate(runs) if len(r) == 1]
+        at = [i for i, r in enumerate(runs) if len(r) <= 3 and _single(r)]
         found, low = [], 0
         while low < len(at):
             high = low + 1
             while high < len(at) and at[high] == at[high - 1] + 1:
                 high += 1
             if high - low >= 3:
-                word, *several = self._spaced("".join(runs[at[low] : at[high - 1] + 1]))
+                word, *several = self._spaced("".join(map(_single, runs[at[low] : at[high - 1] + 1])))
                 found += [word, word[1:], word[:-1], *several]
             low = high
         return found
@@ -324,23 +338,43 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.decoder = model, Decoder(model.cost)
+        #: Whole words and word beginnings that are features, and the first letters of the latter.
+        self.whole = {f[1:]: p for f, p in model.precision.items() if f[0] == "="}
+        self.begun = {f[1:]: p for f, p in model.precision.items() if f[0] == "^"}
+        self.starts = {f[: LENGTHS[0]] for f in self.begun}
+        #: Runs that mean nothing, and the strongest word of others.
+        self.plain: set[str] = set()
         self.runs: dict[str, tuple[float, str]] = {}
 
     def _strongest(self, words: list[str]) -> tuple[float, str]:
-        return max(((self.model.precision.get(f, 0.0), w) for w in words for f in word_features(w)), default=(0.0, ""))
+        """The greatest precision of a feature (see ``word_features``) of the words, and the word."""
+        best = (0.0, "")
+        for w in words:
+            if len(w) >= 3:
+                p = self.whole.get(w, 0.0)
+                if w[: LENGTHS[0]] in self.starts:
+                    p = max(p, *(self.begun.get(w[:n], 0.0) for n in LENGTHS if len(w) >= n))
+                if p and (p, w) > best:
+                    best = (p, w)
+        return best
 
     def _of_run(self, run: str) -> tuple[float, str]:
         found = self.runs.get(run)
         if found is None:
-            if len(self.runs) > self.LIMIT:
+            if len(self.runs) + len(self.plain) > self.LIMIT:
                 self.runs.clear()
-            found = self.runs[run] = self._strongest(self.decoder.in_run(run))
+                self.plain.clear()
+            found = self._strongest(self.decoder.in_run(run))
+            if found[0]:
+                self.runs[run] = found
+            else:
+                self.plain.add(run)
         return found
 
     def score(self, text: str) -> float:
         """One less the chance that none of the three strongest words means it."""
         runs = text.lower().split()
-        strong = {w: p for p, w in map(self._of_run, set(runs)) if p}
+        strong = {w: p for p, w in map(self._of_run, set(runs).difference(self.plain)) if p}
         p, w = self._strongest(self.decoder.in_singles(runs))
         if p:
             strong[w] = p

@@ -449,3 +449,27 @@ def test_viterbi_equals_an_exhaustive_search(decoder):
                     a, b, word = b, code, word + toxicity.ALPHABET[code - 1]
             paths.append((spent + float(decoder.cost[a, b, 0]), word))
         assert decoder._decode(run, False) in {w for s, w in paths if s <= min(paths)[0] + 1e-6}
+
+
+def test_plain_words_take_no_reading_apart(monkeypatch):
+    """Words of Latin letters with punctuation around them are known without their cores, by the
+    same words; runs that mean nothing are looked at once and then left out at once."""
+    cost = np.zeros((toxicity._A,) * 3, np.float32)
+    expected = {"plain,": {"plain"}, '"sea.': {"sea"}, "aa": {"aa"}, "-ball-": {"ball", "bal"}, "the;": {"the"}, "wooord": None}
+    precision = {"=mud": 0.9, "^slim": 0.8, "^slime": 0.85}
+    slow = toxicity.Scorer(toxicity.Model(cost, precision, 0.1))
+    assert slow._strongest(["slimes", "mud", "slim"]) == (0.9, "mud") and slow._strongest(["slimes", "slip"]) == (0.85, "slimes")
+
+    def never(run):
+        raise AssertionError(run)
+
+    monkeypatch.setattr(toxicity, "_cores", never)
+    decoder = toxicity.Decoder(cost)
+    for run, words in expected.items():
+        got = set(decoder.in_run(run))
+        assert got == words if words else {"wooord", "wood" if "wood" in got else "woord"} <= got
+    scorer = toxicity.Scorer(toxicity.Model(cost, precision, 0.1))
+    first = scorer.score("Plain sea, plain mud.")
+    monkeypatch.setattr(toxicity.Decoder, "in_run", lambda self, run: never(run))
+    assert first == scorer.score("Plain sea, plain mud.") == 1 - 0.9 * (1 - 0.9)
+    assert scorer.plain == {"plain", "sea,"}
