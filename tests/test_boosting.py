@@ -161,3 +161,21 @@ def test_grid_reads_one_pool(spark, monkeypatch):
     rows = got.orderBy(F.desc("mean_test_score")).collect()
     assert len(made) == 1 and [r.params for r in rows] == ["l2_leaf_reg=1.0, maxDepth=3", "l2_leaf_reg=1.0, maxDepth=1"]
     assert 0.3 < rows[1].mean_test_score < rows[0].mean_test_score <= 1 and len(model.stages[1].trees) == 2
+
+
+def test_records_hold_the_nodes_of_finished_trees(spark):
+    x, _, _, watched, df = table(spark)
+    pool = pools.write_pool(df.coalesce(1), BANDS, weight="weight", watched="watched")
+    model = boosting.fit_boosted(pool, 2, depth=3)
+    fit = boosting._Fit(pool, None, 1.5, 0.0, 0)
+    fit.fresh = model.trees
+    try:
+        fit.losses()
+        got = fit.rows.orderBy("watched").toArrow().combine_chunks().to_batches()[0]
+    finally:
+        fit.release()
+    assert got.column(0).to_pylist() == [False, True]  # a record for each side, not for each row
+    for at, side in enumerate((False, True)):
+        block = boosting._Block(got, at, model.trees, model.classes)
+        assert block.n == (watched == side).sum() and len(block.places) == 2 * block.n
+        assert block.margins_now().tolist() == model.margins(x[watched == side]).tolist()
